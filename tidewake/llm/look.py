@@ -154,7 +154,7 @@ def run_sql(sql: str, names: list[str], schema: T.StructType):
         with duckdb.connect(config={"threads": 1}) as con:
             for batch in batches:
                 con.register("batch", pa.Table.from_batches([batch]).rename_columns(names))
-                table = con.execute(sql).to_arrow_table()
+                table = con.sql(sql).to_arrow_table()
                 con.unregister("batch")
                 yield from table.to_batches()
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm import look
+from tidewake.llm.components import connected_groups
 from tidewake.session import Stage
 
 
@@ -25,5 +26,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("field_name", F.col("id").cast("bigint").alias("row_id"), "pos", "look_ref")
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
-ORACLE: dict[str, str] = {}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    groups = connected_groups(read(spark, sf, "account_overlap"), "account_a", "account_b", read(spark, sf, "network_nodes"), "account_handle")
+    return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found)}
+
+ORACLE = {
+    "p4_found": """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT account_a AS x, account_b AS y FROM account_overlap WHERE account_a <> account_b
+  UNION SELECT DISTINCT account_b, account_a FROM account_overlap WHERE account_a <> account_b),
+n AS (SELECT account_a AS v FROM account_overlap UNION SELECT account_b FROM account_overlap UNION SELECT account_handle FROM network_nodes),
+r(v, g) USING KEY (v) AS (
+  SELECT v, v FROM n WHERE v IS NOT NULL
+  UNION SELECT e.y, min(r.g) FROM r JOIN e ON e.x = r.v JOIN recurring.r AS o ON o.v = e.y WHERE r.g < o.g GROUP BY e.y)
+SELECT v AS account_handle, g AS group_handle FROM r
+""",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm import look
 from tidewake.llm.components import connected_groups
+from tidewake.llm.set_pairs import expanded, similar_sets
 from tidewake.session import Stage
 
 
@@ -26,14 +27,29 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("field_name", F.col("id").cast("bigint").alias("row_id"), "pos", "look_ref")
 
 
+def _amplified(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "tweets").where("is_retweet").select("author_handle", "content_tweet_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, members = similar_sets(_amplified(spark, sf), "author_handle", "content_tweet_id", threshold=0.5, min_shared=3)
+    return expanded(pairs, members, 3).withColumnsRenamed({"record_a": "account_a", "record_b": "account_b"})
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     groups = connected_groups(read(spark, sf, "account_overlap"), "account_a", "account_b", read(spark, sf, "network_nodes"), "account_handle")
     return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found)}
 
 ORACLE = {
+    "p3_found": """
+WITH s AS (SELECT DISTINCT author_handle AS h, content_tweet_id AS t FROM tweets WHERE is_retweet AND author_handle IS NOT NULL AND content_tweet_id IS NOT NULL),
+n AS (SELECT h, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3),
+p AS (SELECT x.h AS a, y.h AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.h < y.h GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT a AS account_a, b AS account_b FROM p JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE k / (x.n + y.n - k) >= 0.5
+""",
     "p4_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT account_a AS x, account_b AS y FROM account_overlap WHERE account_a <> account_b

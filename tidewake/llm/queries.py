@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm import look
 from tidewake.llm.components import connected_groups
+from tidewake.llm.leaks import leaked
 from tidewake.llm.set_pairs import expanded, similar_sets
 from tidewake.session import Stage
 
@@ -41,7 +42,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found)}
+def p8_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and item that share a rare seed, with the score of their alignment."""
+    return leaked(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_aligned(spark, sf).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p8_found, p8_aligned)}
 
 ORACLE = {
     "p3_found": """

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewake.llm import look
 from tidewake.llm.components import connected_groups
+from tidewake.llm.density_peaks import density_clusters, describe, scaled_vectors
 from tidewake.llm.leaks import leaked
+from tidewake.llm.quality import quality
 from tidewake.llm.set_pairs import expanded, similar_sets
 from tidewake.session import Stage
 
@@ -42,6 +44,29 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
 
 
+#: Profile flags describe how an account was set up, not how it behaves.
+NOT_BEHAVIOUR = ("account_handle", "analyst_label", "default_profile", "default_profile_image", "is_blue_verified")
+RATIOS = ("retweet_ratio", "retweets_to_member_ratio", "top_amplified_share", "first_retweeter_ratio", "coordination_score")
+
+
+def _behaviour(spark: SparkSession, sf: str) -> DataFrame:
+    table = read(spark, sf, "ml_feature_matrix")
+    features = [c for c in table.columns if c not in NOT_BEHAVIOUR]
+    logs = [c for c in features if c not in RATIOS and not c.startswith("role_")]
+    return density_clusters(scaled_vectors(table, "account_handle", features, logs))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = _behaviour(spark, sf)
+    names = clusters.groupBy("cluster").agg(F.min("record").alias("cluster_handle"))
+    return clusters.join(F.broadcast(names), "cluster").select(F.col("record").alias("account_handle"), "cluster_handle")
+
+
+def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cluster with its size and its most typical accounts."""
+    return describe(_behaviour(spark, sf))
+
+
 def p8_aligned(spark: SparkSession, sf: str) -> DataFrame:
     """Every document and item that share a rare seed, with the score of their alignment."""
     return leaked(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "eval_items"), "item_id", "passage")
@@ -51,7 +76,19 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_aligned(spark, sf).where("longest_run >= 12").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p8_found, p8_aligned)}
+def _common_words(spark: SparkSession, sf: str) -> list[str]:
+    return [r[0] for r in read(spark, sf, "common_words").select("word").distinct().collect()]
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(read(spark, sf, "documents"), "doc_id", "text", _common_words(spark, sf))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_statistics(spark, sf).where("not_prose_share > 0.5").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_aligned, p10_found, p10_statistics)}
 
 ORACLE = {
     "p3_found": """

@@ -68,27 +68,25 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def blocks(stage: Stage, points: DataFrame, dims: int, layouts: int, size: int, seed: int) -> DataFrame:
     """``(block, layout, share, <points' columns>)``: every point once per layout.
 
-    A layout's hyperplanes are random directions, each cut at its median over all
-    points. A block is a prefix of sides, as long as it takes to hold ``size`` points at
+    A layout's hyperplanes are random directions through the centre of the (scaled)
+    data. A block is a prefix of sides, as long as it takes to hold ``size`` points at
     most. What all planes leave together is dealt into chunks by a hash; ``share`` is
     the chunk's part of it, to scale counts by.
     """
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((layouts * PLANES, dims)).astype(np.float32)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _matrix(batch.column(1)) @ planes.T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), len(planes)).cast(pa.list_(pa.float32()))], ["id", "at"])
+            n = batch.num_rows
+            above = (_matrix(batch.column(1)) @ planes.T > 0).astype(np.uint8) + ord("0")
+            codes = np.ascontiguousarray(above.reshape(n * layouts, PLANES)).view(f"S{PLANES}").ravel()
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), layouts)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(layouts, dtype=np.int32), n)), pa.array(codes).cast(pa.string())], ["id", "layout", "code"])
 
     kind = points.schema["id"].dataType.simpleString()
-    at = stage.cut(points.select("id", "vec").mapInArrow(project, f"id {kind}, at array<float>"))
-    n = at.count()
-    # a plane's place only balances the blocks
-    medians = at.select([F.percentile_approx(F.col("at")[i], 0.5, 200).alias(f"p{i}") for i in range(len(planes))]).first()
-    sides = [F.when(F.col("at")[i] > F.lit(medians[i]), F.lit("1")).otherwise(F.lit("0")) for i in range(len(planes))]
-    codes = F.array(*[F.struct(F.lit(k).alias("layout"), F.concat(*sides[k * PLANES : (k + 1) * PLANES]).alias("code")) for k in range(layouts)])
-    open_ = at.select("id", F.explode(codes).alias("c")).select("id", "c.layout", "c.code")
+    open_ = stage.cut(points.select("id", "vec").mapInArrow(sides, f"id {kind}, layout int, code string"))
+    n = open_.count() / layouts
     done: DataFrame | None = None
     bits = max(0, math.floor(math.log2(max(1, n / size))))
     while True:

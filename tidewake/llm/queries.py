@@ -44,8 +44,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
 
 
-#: Profile flags describe how an account was set up, not how it behaves.
-NOT_BEHAVIOUR = ("account_handle", "analyst_label", "default_profile", "default_profile_image", "is_blue_verified")
+#: What a profile shows is no behaviour, and for many accounts it is unknown.
+NOT_BEHAVIOUR = (
+    "account_handle", "analyst_label", "followers_count", "friends_count", "statuses_count", "account_age_days",
+    "default_profile", "default_profile_image", "is_blue_verified",
+)
 RATIOS = ("retweet_ratio", "retweets_to_member_ratio", "top_amplified_share", "first_retweeter_ratio", "coordination_score")
 
 

@@ -9,6 +9,7 @@ from tidewake.llm import look
 from tidewake.llm.components import connected_groups
 from tidewake.llm.density_peaks import density_clusters, describe, scaled_vectors
 from tidewake.llm.leaks import leaked
+from tidewake.llm.mixing import mix
 from tidewake.llm.quality import quality
 from tidewake.llm.set_pairs import expanded, similar_sets
 from tidewake.session import Stage
@@ -79,6 +80,20 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_aligned(spark, sf).where("longest_run >= 12").select("doc_id", "item_id")
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mix(read(spark, sf, "documents"), "doc_id", "source", "text", read(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of every mix with their number of copies."""
+    return _mixed(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual shares of every mix's sources."""
+    return _mixed(spark, sf)[1]
+
+
 def _common_words(spark: SparkSession, sf: str) -> list[str]:
     return [r[0] for r in read(spark, sf, "common_words").select("word").distinct().collect()]
 
@@ -91,7 +106,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_statistics(spark, sf).where("not_prose_share > 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_aligned, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_aligned, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 ORACLE = {
     "p3_found": """

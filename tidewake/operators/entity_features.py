@@ -20,7 +20,8 @@ def cumulative_store(events: DataFrame, entity: str, kind: str, time: str, value
     """``(entity, kind, day, cum_count, cum_total, last_at)``, one row per day with events.
 
     Events are pre-aggregated by (entity, type, day) before the running sums, so an
-    entity with a third of all events has at most one row per type and day left.
+    entity with a third of all events has at most one row per type and day left when
+    the rows of an entity come together.
     A null entity or type is a group of its own; a null value adds 0; an event
     without a time is booked on ``UNDATED`` and leaves ``last_at`` alone.
     """
@@ -35,6 +36,8 @@ def cumulative_store(events: DataFrame, entity: str, kind: str, time: str, value
         .groupBy("entity", "kind", "day")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), F.max("at").alias("last_at"))
     )
+    # one placement by entity serves the running sums, the windows and the wide table
+    daily = daily.repartition("entity")
     run = Window.partitionBy("entity", "kind").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select("entity", "kind", "day", F.sum("n").over(run).alias("cum_count"), F.sum("v").over(run).alias("cum_total"), "last_at")
 
@@ -60,9 +63,15 @@ def window_features(store: DataFrame, as_of: dt.date | None, windows: dict[str,
 
 
 def widen(features: DataFrame, kinds: list[str], columns: list[str], prefix: str = "") -> DataFrame:
-    """One row per entity with ``<prefix><kind>_<column>`` for every kind; absent: null."""
-    cells = [F.first(c, ignorenulls=True).alias(c) for c in columns]
-    wide = features.groupBy("entity").pivot("kind", kinds).agg(*cells)
-    if len(columns) == 1:
-        wide = wide.withColumnsRenamed({k: f"{k}_{columns[0]}" for k in kinds})
-    return wide.withColumnsRenamed({c: prefix + c for c in wide.columns if c != "entity"}) if prefix else wide
+    """One row per entity with ``<prefix><kind>_<column>`` for every kind; absent: null.
+
+    An entity's cells are gathered sparsely (at most one per kind) and laid out by
+    place, which costs far less than a pivot with a buffer of all cells per entity
+    when there are hundreds of kinds and an entity has few of them.
+    """
+    cell = F.struct(*columns)
+    rows = features.where(F.col("kind").isin(kinds)) if len(kinds) < 50 else features.where("kind is not null")
+    sparse = rows.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", cell.alias("cell")))).alias("m"))
+    places = F.array(*[F.lit(k) for k in kinds])
+    dense = sparse.select("entity", F.transform(places, lambda k: F.try_element_at("m", k)).alias("d"))
+    return dense.select("entity", *[F.col("d")[i][c].alias(f"{prefix}{k}_{c}") for i, k in enumerate(kinds) for c in columns])

@@ -70,17 +70,22 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
+def _different(vectors: DataFrame, most: int) -> int:
+    """Number of different rows, ``most`` at most: k-means can't have more clusters."""
+    return vectors.select(vector_to_array("features").alias("x")).distinct().limit(most).count()
+
+
 def choose_clusters(vectors: DataFrame, n: int, requested: int | None, seed: int) -> tuple[int, str]:
     """(k, how): the requested number within 1..n, else the best silhouette of 2..8 (the
     smaller on a tie) on a bounded sample of rows (model selection only)."""
     if n < 4:
         return 1, "fallback_small_sample"
     if requested:
-        return max(1, min(requested, n)), "requested"
+        return max(1, min(requested, n, _different(vectors, requested))), "requested"
     sample = vectors.orderBy(F.xxhash64("account_handle", F.lit(seed))).limit(SILHOUETTE_ROWS).collect()
     x = np.array([r["features"].toArray() for r in sample])
     best = (-1.0, 1)
-    for k in range(2, min(8, n - 1) + 1):
+    for k in range(2, min(8, n - 1, _different(vectors, 8)) + 1):
         model = KMeans(k=k, seed=seed).fit(vectors)
         centres = np.array(model.clusterCenters())
         labels = ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)

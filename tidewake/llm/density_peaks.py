@@ -195,31 +195,30 @@ def choose_peaks(candidates: dict, sizes: dict, up: dict, least: float) -> dict:
     """The peak of each candidate, by candidate.
 
     ``candidates`` is id -> distance to the nearest denser record, ``sizes`` id -> records
-    that follow it, ``up`` id -> candidate that its denser neighbour follows (None for
-    the densest). Candidates followed by fewer than ``least`` records are outliers and
-    follow on; of the others those before the widest gap in distance are peaks.
+    that follow it first, ``up`` id -> candidate that its denser neighbour follows (None for
+    the densest). Candidates that fewer than ``least`` records come to, directly or through
+    others, are outliers and follow on; of the others those before the widest gap in
+    distance are peaks.
     """
-
-    def follow(peaks: set) -> dict:
-        out = {}
-        for c in candidates:
-            at = c
-            while at not in peaks:
-                at = up[at]
-            out[c] = at
-        return out
-
-    peaks = set(candidates)
-    for c in sorted(candidates, key=lambda c: (candidates[c], c)):  # the nearest to something denser first
-        own = follow(peaks)
-        if up[c] is not None and sum(sizes.get(x, 0) for x, p in own.items() if p == c) < least:
-            peaks.discard(c)
+    behind = dict.fromkeys(candidates, 0)
+    for c in candidates:
+        at = c
+        while at is not None:
+            behind[at] += sizes.get(c, 0)
+            at = up[at]
+    peaks = {c for c in candidates if behind[c] >= least}
     ranked = sorted(peaks, key=lambda c: (-candidates[c], c))
     if len(ranked) > 2:
         ratios = [candidates[ranked[i]] / max(candidates[ranked[i + 1]], 1e-9) for i in range(len(ranked) - 1)]
         ranked = ranked[: max(range(len(ratios)), key=lambda i: (ratios[i], -i)) + 1]
-    roots = {c for c in candidates if up[c] is None}
-    return follow(set(ranked) | roots)
+    peaks = set(ranked) | {c for c in candidates if up[c] is None}
+    out = {}
+    for c in candidates:
+        at = c
+        while at not in peaks:
+            at = up[at]
+        out[c] = at
+    return out
 
 
 def _follow(stage: Stage, links: DataFrame, stops: list) -> DataFrame:

@@ -140,7 +140,7 @@ def mix(
         have = [sum(x.values()) for x in there]
         total = total_tokens if total_tokens is not None else largest_total([(s, a, r) for (_, s, r), a in zip(sources, have)])
         block = max(1, math.floor(total / BLOCKS))
-        caps = [a * r // block for (_, _, r), a in zip(sources, have)]
+        caps = [math.ceil(a * r / block) for (_, _, r), a in zip(sources, have)]
         blocks = sainte_lague([s for _, s, _ in sources], math.floor(total / block), caps)
         for (name, share, repeats), parts, n in zip(sources, there, blocks):
             keys = sorted(parts)

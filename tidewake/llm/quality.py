@@ -215,9 +215,9 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
         return out
     words = [w for x in lines for w in x.words]
     n = len(text)
-    for line in lines:
-        line.kind = _junk(line, common)
     _tables(lines)
+    for line in lines:
+        line.kind = line.kind or _junk(line, common)
     _lists(lines)
     # lines that are said three times or more
     times = Counter(x.text.strip() for x in lines)

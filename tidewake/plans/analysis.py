@@ -154,6 +154,40 @@ def propagation(spark: SparkSession, sf: str) -> DataFrame:
     return shown(prop.propagation(posts, casc, members, _network(spark, sf)[1], account.account_roles(members, accounts), by_cascade))
 
 
+def target_hhi(spark: SparkSession, sf: str) -> DataFrame:
+    posts = posts_of(spark, sf).where("is_retweet")
+    counts = posts.groupBy(F.col("content_author_handle").alias("target"), "author_handle").agg(F.count(F.lit(1)).alias("n"))
+    return prop.hhi(counts, "target").select("target", F.round("hhi", 6).alias("hhi"))
+
+
+def repeat_crew(spark: SparkSession, sf: str) -> DataFrame:
+    _, casc, accounts = _cascades(spark, sf)
+    return prop.repeat_crew(casc, accounts).select("original_author_handle", F.round("repeat_overlap", 6).alias("repeat_overlap"))
+
+
+def burst(spark: SparkSession, sf: str) -> DataFrame:
+    posts, casc, _ = _cascades(spark, sf)
+    return prop.burst(prop.steps(posts, casc)).withColumn("kurtosis", F.round("kurtosis", 5))
+
+
+def client_share(spark: SparkSession, sf: str) -> DataFrame:
+    posts, casc, _ = _cascades(spark, sf)
+    return prop.client_share(prop.steps(posts, casc)).withColumn("share", F.round("share", 6))
+
+
+def role_mix(spark: SparkSession, sf: str) -> DataFrame:
+    posts, _, members, accounts = _accounts(spark, sf)
+    counts = posts.where("is_retweet").groupBy(F.col("content_author_handle").alias("target"), F.col("author_handle").alias("account_handle"))
+    return prop.role_mix(counts.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("seen")), "target", account.account_roles(members, accounts))
+
+
+def burst_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Amplifications per original and quarter of an hour, as the streaming operator counts them."""
+    from tidewake.streaming.bursts import burst_counts
+
+    return shown(burst_counts(posts_of(spark, sf)).drop("accounts"))
+
+
 def spread_path(spark: SparkSession, sf: str) -> DataFrame:
     posts, casc, _ = _cascades(spark, sf)
     paths = prop.spread_paths(prop.steps(posts, casc), casc, _network(spark, sf)[1], None)
@@ -249,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dataset_stats, missing_members, cascade_summary, source_cascades, token_hashtags, token_mentions, amplifier_edges, account_overlap, account_summary, coordination_score,
-        overlap_nodes, overlap_components, k_core, tight_edges, cohort_by_cascade, cohorts, account_roles, target_summary, propagation, spread_path, first_profiles, feature_matrix,
+        overlap_nodes, overlap_components, k_core, tight_edges, cohort_by_cascade, cohorts, account_roles, target_summary, propagation, target_hhi, repeat_crew, burst, client_share, role_mix, burst_windows, spread_path, first_profiles, feature_matrix,
         canonical_text, stored_canonical_text_differs, client_label, handle_from_url, members_placeholder, snapshot_asof, ml_features, ml_scaled, ml_run, ml_accounts, ml_clusters,
     )
 }

@@ -253,6 +253,31 @@ ORACLE = {
     "snapshot_asof": """SELECT DISTINCT export_id, coalesce((SELECT max(snapshot_id) FROM members m WHERE m.snapshot_id <= t.export_id), (SELECT max(snapshot_id) FROM members)) AS snapshot_id FROM tweets t""",
 }
 
+ORACLE |= {
+    "target_hhi": """SELECT t AS target, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi FROM (SELECT content_author_handle AS t, count(*) AS n FROM tweets WHERE is_retweet
+      GROUP BY content_author_handle, author_handle) GROUP BY t""",
+    "repeat_crew": _with("casc")
+    + """, five AS (SELECT original_author_handle AS t, original_tweet_id AS o, row_number() OVER (PARTITION BY original_author_handle
+      ORDER BY retweet_count DESC, coalesce(first_retweet_at, original_created_at), original_tweet_id) AS k FROM casc QUALIFY k <= 5),
+    sets AS (SELECT t, k, list(DISTINCT author_handle) AS s FROM five JOIN b USING (o) GROUP BY 1, 2)
+    SELECT t AS original_author_handle, round(coalesce(any_value(j), 0), 6) AS repeat_overlap FROM five LEFT JOIN (SELECT p.t, avg(len(list_intersect(p.s, q.s)) / (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))) AS j
+      FROM sets p JOIN sets q ON p.t = q.t AND p.k < q.k GROUP BY 1) USING (t) GROUP BY t""",
+    "burst": _with("steps")
+    + """, win AS (SELECT *, count(*) OVER (PARTITION BY original_tweet_id ORDER BY elapsed RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS w FROM steps)
+    SELECT original_tweet_id, max(elapsed) FILTER (rn = 5) AS time_to_k5_sec, max(elapsed) FILTER (rn = 10) AS time_to_k10_sec, max(elapsed) FILTER (rn = 50) AS time_to_k50_sec,
+      round(CASE WHEN count(*) >= 4 AND min(elapsed) < max(elapsed) THEN kurtosis_pop(elapsed) ELSE 0.0 END, 5) AS kurtosis, max(w) AS burst_peak_window_count,
+      arg_max(elapsed, struct_pack(w := w, e := -elapsed)) AS burst_peak_window_start_sec FROM win GROUP BY 1""",
+    "client_share": _with("steps")
+    + """, cl AS (SELECT original_tweet_id, source_client, count(*) AS n FROM steps WHERE source_client <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY original_tweet_id ORDER BY count(*) DESC, min(rn)) = 1)
+    SELECT original_tweet_id, any_value(cl.source_client) AS dominant_client, round(coalesce(any_value(n) / count(*), 0), 6) AS share FROM steps LEFT JOIN cl USING (original_tweet_id) GROUP BY 1""",
+    "role_mix": _with("roles")
+    + ", cnt AS (SELECT content_author_handle AS target, author_handle AS account_handle, count(*) AS n, min(row_id) AS seen FROM tweets WHERE is_retweet GROUP BY 1, 2), "
+    + _mix("target")
+    + " SELECT target, mix AS role_mix FROM mix",
+    "burst_windows": """SELECT time_bucket(INTERVAL 15 MINUTE, posted_at) AS window_start, time_bucket(INTERVAL 15 MINUTE, posted_at) + INTERVAL 15 MINUTE AS window_end, content_tweet_id, count(*) AS amplifications
+      FROM tweets WHERE is_retweet AND posted_at IS NOT NULL GROUP BY 1, 2, 3""",
+}
+
 _X = {f: f"coalesce({f}::DOUBLE, 0)" if f in PLAIN else f"ln(1 + greatest(coalesce({f}::DOUBLE, 0), 0))" for f in FEATURES}
 ORACLE["ml_features"] = "SELECT account_handle, " + ", ".join(f"round({x}, 6) AS {f}" for f, x in _X.items()) + " FROM (SELECT DISTINCT * FROM ml_feature_matrix)"
 ORACLE["ml_scaled"] = (

@@ -142,7 +142,22 @@ _P5_KINDS = ", ".join(
     )
 )
 
+_P7 = """
+WITH good AS MATERIALIZED (SELECT raw_id, payload FROM raw_posts WHERE payload IS NOT NULL AND json_valid(payload)),
+nodes AS (SELECT g.raw_id, j.fullkey, j.value FROM good g, json_tree(g.payload) j WHERE j.type = 'OBJECT'),
+posts AS MATERIALIZED (SELECT raw_id, fullkey, coalesce(nullif(value ->> '$.core.user_results.result.core.screen_name', ''), nullif(value ->> '$.core.user_results.result.legacy.screen_name', '')) AS author,
+  coalesce(nullif(value ->> '$.rest_id', ''), nullif(value ->> '$.legacy.id_str', '')) AS id,
+  CASE WHEN json_type(value, '$.note_tweet.note_tweet_results.result.entity_set.hashtags') = 'ARRAY' THEN value -> '$.note_tweet.note_tweet_results.result.entity_set.hashtags'
+    ELSE value -> '$.legacy.entities.hashtags' END AS tags FROM nodes WHERE author IS NOT NULL AND id IS NOT NULL),
+linked AS (SELECT p.raw_id, p.fullkey, arg_max(q.id, length(q.fullkey)) AS parent FROM posts p JOIN posts q
+  ON p.raw_id = q.raw_id AND (starts_with(p.fullkey, q.fullkey || '.') OR starts_with(p.fullkey, q.fullkey || '[')) GROUP BY 1, 2),
+kept AS (SELECT *, list_filter(CASE WHEN json_type(tags) = 'ARRAY' THEN json_extract_string(tags, '$[*].text') ELSE [] END, lambda t: t IS NOT NULL AND t <> '') AS k FROM posts)
+SELECT raw_id, id AS tweet_id, coalesce(parent, '') AS parent_tweet_id, author AS author_handle, CASE WHEN len(k) = 0 THEN -1 ELSE i END::INT AS pos, CASE WHEN len(k) = 0 THEN '' ELSE k[i + 1] END AS hashtag
+FROM kept LEFT JOIN linked USING (raw_id, fullkey), unnest(range(greatest(len(k), 1))) AS u(i)
+"""
+
 ORACLE = {
+    "p7_found": _P7,
     "p2_found": _P2.format(extra=""),
     "p2_changed_fields": _P2.format(extra=f", concat_ws(',', {_DIFFER}) AS changed_fields"),
     "p5_entity_features": _P5.format(kinds=_P5_KINDS, posts=_POSTS),

@@ -108,7 +108,29 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_aligned, p9_mix, p9_shares, p10_found, p10_statistics)}
 
+def _p1_form(source: str) -> str:
+    return f"({look.look_query(source, '* EXCLUDE (value, look), value AS v, look AS form')})"
+
+
 ORACLE = {
+    "p1_found": f"""
+WITH t AS MATERIALIZED {_p1_form("SELECT row_id, canonical_text AS value FROM tweets WHERE canonical_text IS NOT NULL")},
+h AS MATERIALIZED {_p1_form("SELECT * FROM (SELECT row_id, unnest(range(len(hashtags_raw)))::INT AS pos, unnest(hashtags_raw) AS value FROM tweets) WHERE value IS NOT NULL")},
+m AS MATERIALIZED {_p1_form("SELECT * FROM (SELECT row_id, unnest(range(len(mentions_raw)))::INT AS pos, unnest(mentions_raw) AS value FROM tweets) WHERE value IS NOT NULL")},
+r AS MATERIALIZED {_p1_form("SELECT tag_id::VARCHAR AS id, tag AS value FROM hashtag_registry WHERE tag IS NOT NULL")},
+n AS MATERIALIZED {_p1_form("SELECT DISTINCT member_id AS id, screen_name AS value FROM members WHERE screen_name IS NOT NULL")}
+SELECT 'canonical_text' AS field_name, row_id, 0 AS pos, ref::VARCHAR AS look_ref
+FROM (SELECT row_id, v, first_value(row_id) OVER w AS ref, first_value(v) OVER w AS ref_v FROM t WINDOW w AS (PARTITION BY form ORDER BY row_id)) WHERE v <> ref_v
+UNION ALL SELECT 'hashtags_raw', row_id, pos, r.id FROM h JOIN r USING (form) WHERE h.v <> r.v
+UNION ALL SELECT 'mentions_raw', row_id, pos, n.id FROM m JOIN n USING (form) WHERE m.v <> n.v
+""",
+    "p8_found": """
+WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(text)), 'ς', 'σ'), '[\\p{L}\\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(replace(lower(strip_accents(passage)), 'ς', 'σ'), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS x FROM d WHERE len(w) >= 12),
+s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS x FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM g JOIN s USING (x)
+""",
     "p3_found": """
 WITH s AS (SELECT DISTINCT author_handle AS h, content_tweet_id AS t FROM tweets WHERE is_retweet AND author_handle IS NOT NULL AND content_tweet_id IS NOT NULL),
 n AS (SELECT h, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3),

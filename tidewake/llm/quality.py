@@ -32,18 +32,25 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _REFERENCE = re.compile(r"(?:https?://|www\.)\S+|[#@]\w[\w.]*|\w+@\w[\w.]*")
 _SENTENCE_END = re.compile(r"[.!?…;·][»\"”')*]*\s*$")
 _INNER_END = re.compile(r"[.!?;…]['\"”»)]?\s+[^\W\d_a-zα-ωάέήίόύώ]")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_DIGIT = re.compile(r"\d")
+#: Words of three letters or more without a vowel, or with five letters in a row without one.
+_DULL = re.compile(r"(?<!\S)(?:[^\s{0}]{{3,}}(?!\S)|\S*?[^\s{0}]{{5}}\S*)".format("".join(sorted(VOWELS))))
 _MOJIBAKE = re.compile(r"[ÂÃÎÏÐÑÅÄ][\x80-\xbf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
 
 
-def _plain(word: str) -> str:
-    word = word.casefold()
-    if word.isascii():
-        return word
-    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+def _plain(text: str) -> str:
+    """Without case and accents."""
+    text = text.casefold()
+    if text.isascii():
+        return text
+    text = _ACCENTS.sub("", unicodedata.normalize("NFD", text))
+    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
 
 
 class _Line:
-    __slots__ = ("text", "size", "words", "letters", "marker", "indent", "ends", "inner", "kind", "cells")
+    __slots__ = ("text", "size", "words", "plain", "letters", "marker", "indent", "ends", "inner", "kind", "cells")
 
     def __init__(self, text: str) -> None:
         self.size = len(text) + 1
@@ -51,6 +58,7 @@ class _Line:
             text = text.lstrip("> ")
         self.text = text
         self.words = _WORD.findall(text)
+        self.plain = _plain(" ".join(self.words)).split(" ") if self.words else []
         self.letters = sum(map(len, self.words))
         m = _MARKER.match(text)
         self.marker = next((i for i, g in enumerate(m.groups()) if g is not None), None) if m else None
@@ -142,68 +150,54 @@ def _lists(lines: list[_Line]) -> None:
                 x.kind = "list"
 
 
-def _function_share(words: list[str], common: frozenset[str]) -> float:
+def _function_share(plain: list[str], common: frozenset[str]) -> float:
     """Share of words that are common ones or, as in any language, very short."""
-    return sum(len(w) <= 3 or _plain(w) in common for w in words) / len(words) if words else 0.0
+    return sum(len(w) <= 3 or w in common for w in plain) / len(plain) if plain else 0.0
 
 
 def _junk(line: _Line, common: frozenset[str]) -> str:
     text = line.text
     n = max(1, len(text.strip()))
-    if _LOG.match(text) and not line.ends or len(_PAIR.findall(text)) >= 2:
+    if _LOG.match(text) and not line.ends or "=" in text and len(_PAIR.findall(text)) >= 2:
         return "log"
-    references = sum(len(m) for m in _REFERENCE.findall(text))
-    if references / n > 0.5:
-        return "list"
+    if "#" in text or "@" in text or "://" in text or "www." in text:
+        if sum(len(m) for m in _REFERENCE.findall(text)) / n > 0.5:
+            return "list"
     items = text.count(", ") + text.count("; ")
     if items >= 6 and not line.inner and len(line.words) / (items + 1) <= 5.5:
         return "list"
-    if len(_MOJIBAKE.findall(text)) * 2 / n > 0.25:
+    if not text.isascii() and len(_MOJIBAKE.findall(text)) * 2 / n > 0.25:
         return "junk"
     if (line.letters + text.count(" ")) / n < 0.6:
         return "junk"
-    if sum(len(t) for t in text.split() if len(t) > 40 and not _REFERENCE.match(t)) / n > 0.4:
+    if n > 40 and sum(len(t) for t in text.split() if len(t) > 40 and not _REFERENCE.match(t)) / n > 0.4:
         return "junk"
     if line.words and max(map(len, line.words)) > 40 or line.letters / max(1, len(line.words)) > 18:
         return "junk"
     if len(line.words) >= 4:
-        plain = [_plain(w) for w in line.words]
-        dull = sum(len(w) > 2 and (not VOWELS & set(w) or _clustered(w)) for w in plain) / len(plain)
-        if dull > 0.3:
+        if len(_DULL.findall(" ".join(line.plain))) / len(line.plain) > 0.3:
             return "junk"
-    if len(line.words) >= 8 and not line.ends and 15 * sum(map(text.count, ",;:.")) < len(line.words) and _function_share(line.words, common) < 0.12:
+    if len(line.words) >= 8 and not line.ends and 15 * sum(map(text.count, ",;:.")) < len(line.words) and _function_share(line.plain, common) < 0.12:
         return "junk"
     return ""
 
 
-def _clustered(word: str) -> bool:
-    """Five letters in a row without a vowel."""
-    run = 0
-    for c in word:
-        run = 0 if c in VOWELS else run + 1
-        if run >= 5:
-            return True
-    return False
-
-
 def _repeated_share(text: str, gram: int = 5) -> float:
     """Share of characters that only repeat what the document said before."""
     if len(text) > 60:
         packed = len(zlib.compress(text.encode(), 6)) / len(text.encode())
         if packed < 0.12:
             return 1.0
-    tokens = [m for m in re.finditer(r"\S+", text)]
-    if len(tokens) <= gram:
+    names = text.split()
+    if len(names) <= gram:
         return 0.0
     seen: set[tuple[str, ...]] = set()
-    names = [m[0] for m in tokens]
-    again = [False] * len(tokens)
-    for i in range(len(tokens) - gram + 1):
-        g = tuple(names[i : i + gram])
+    again: set[int] = set()
+    for i, g in enumerate(zip(*(names[k:] for k in range(gram)))):
         if g in seen:
-            again[i : i + gram] = [True] * gram
+            again.update(range(i, i + gram))
         seen.add(g)
-    return sum(len(m[0]) + 1 for m, a in zip(tokens, again) if a) / len(text)
+    return sum(len(names[i]) + 1 for i in again) / len(text)
 
 
 def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
@@ -214,6 +208,7 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
     if not lines:
         return out
     words = [w for x in lines for w in x.words]
+    plain = [w for x in lines for w in x.plain]
     n = len(text)
     _tables(lines)
     for line in lines:
@@ -236,13 +231,13 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
     out |= {
         "words": len(words),
         "mean_word_length": sum(map(len, words)) / max(1, len(words)),
-        "symbol_ratio": sum(not c.isalnum() and not c.isspace() for c in text) / n,
-        "digit_ratio": sum(c.isdigit() for c in text) / n,
+        "symbol_ratio": len(_SYMBOL.findall(text)) / n,
+        "digit_ratio": len(_DIGIT.findall(text)) / n,
         "lines": len(lines),
         "punctuated_line_share": sum(x.ends for x in lines) / len(lines),
         "marked_line_share": sum(x.marker is not None for x in lines) / len(lines),
-        "common_word_share": sum(_plain(w) in common for w in words) / max(1, len(words)),
-        "function_word_share": _function_share(words, common),
+        "common_word_share": sum(w in common for w in plain) / max(1, len(words)),
+        "function_word_share": _function_share(plain, common),
         "delimiter_alignment": sum(x.cells > 0 for x in lines) / len(lines),
         "indent_period": max((_autocorrelation(indents, k) for k in (1, 2, 3, 4)), default=0.0) if len(set(indents)) > 1 else 0.0,
         "line_length_autocorrelation": max(_autocorrelation(lengths, k) for k in (1, 2, 3)),

@@ -31,12 +31,13 @@ _PAIR = re.compile(r"[\w.-]+=[^\s=]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _REFERENCE = re.compile(r"(?:https?://|www\.)\S+|[#@]\w[\w.]*|\w+@\w[\w.]*")
 _SENTENCE_END = re.compile(r"[.!?…;·][»\"”')*]*\s*$")
-_INNER_END = re.compile(r"[.!?;…]['\"”»)]?\s+[^\W\d_a-zα-ωάέήίόύώ]")
+_INNER_END = re.compile(r"[.!?…]['\"”»)*]*\s+[*'\"“«(]*[^\W\d_]|;\s+[A-ZΑ-ΩΆΈΉΊΌΎΏ]")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
+_ITEM = re.compile("[,;] ")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _DIGIT = re.compile(r"\d")
-#: Words of three letters or more without a vowel, or with five letters in a row without one.
-_DULL = re.compile(r"(?<!\S)(?:[^\s{0}]{{3,}}(?!\S)|\S*?[^\s{0}]{{5}}\S*)".format("".join(sorted(VOWELS))))
+#: Words of three letters or more without a vowel, or with four letters in a row without one.
+_DULL = re.compile(r"(?<!\S)(?:[^\s{0}]{{3,}}(?!\S)|\S*?[^\s{0}]{{4}}\S*)".format("".join(sorted(VOWELS))))
 _MOJIBAKE = re.compile(r"[ÂÃÎÏÐÑÅÄ][\x80-\xbf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
 
 
@@ -126,7 +127,7 @@ def _wrapped(run: list[_Line]) -> bool:
     said = sum(x.ends or x.inner for x in run)
     goes_on = sum(x.text.lstrip()[:1].islower() for x in run[1:]) / len(body)
     stops = sum(x.ends or x.inner for x in run) / len(run)
-    if goes_on >= 0.4 and said * 35 >= sum(len(x.words) for x in run):  # at any width, even a word a line
+    if stops <= 0.6 and said * 35 >= sum(len(x.words) for x in run):  # sentences over several lines, even a word a line
         return True
     return full >= 0.6 and (goes_on >= 0.4 and stops >= 0.2 or stops >= 0.4)
 
@@ -140,14 +141,14 @@ def _lists(lines: list[_Line]) -> None:
             for x in run:
                 x.kind = x.kind or "list"
     # lines without markers: short, unfinished, and not prose broken at a width
-    short = lambda x: not x.kind and len(x.text) <= 90
+    short = lambda x: x.kind in ("", "junk") and len(x.text) <= 90
     for run in _blocks(lines, lambda a, b: short(a) and short(b)):
         if len(run) < 4 or not short(run[0]):
             continue
         unfinished = sum(not x.ends and not x.inner for x in run) / len(run)
         if unfinished >= 0.7 and not _wrapped(run):
             for x in run:
-                x.kind = "list"
+                x.kind = x.kind or "list"
 
 
 def _function_share(plain: list[str], common: frozenset[str]) -> float:
@@ -164,8 +165,10 @@ def _junk(line: _Line, common: frozenset[str]) -> str:
         if sum(len(m) for m in _REFERENCE.findall(text)) / n > 0.5:
             return "list"
     items = text.count(", ") + text.count("; ")
-    if items >= 6 and not line.inner and len(line.words) / (items + 1) <= 5.5:
-        return "list"
+    if items >= 6 and not line.inner and len(line.words) / (items + 1) <= 7.5:
+        pieces = [len(p.split()) for p in _ITEM.split(text)]
+        if len(line.words) / (items + 1) <= 5.5 or sum(p > 9 for p in pieces) <= 0.05 * len(pieces):
+            return "list"
     if not text.isascii() and len(_MOJIBAKE.findall(text)) * 2 / n > 0.25:
         return "junk"
     if (line.letters + text.count(" ")) / n < 0.6:
@@ -213,12 +216,12 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
     _tables(lines)
     for line in lines:
         line.kind = line.kind or _junk(line, common)
-    _lists(lines)
-    # lines that are said three times or more
+    # lines that are said three times or more, unless they are single words
     times = Counter(x.text.strip() for x in lines)
     for x in lines:
-        if not x.kind and times[x.text.strip()] >= 3:
+        if not x.kind and times[x.text.strip()] >= 3 and (len(x.words) != 1 or x.size > 20):
             x.kind = "junk"
+    _lists(lines)
     total = sum(x.size for x in lines)
     by_kind = Counter()
     for x in lines:

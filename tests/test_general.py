@@ -168,6 +168,20 @@ def test_asof(spark):
     assert {r["e"]: r["m"] for r in latest_not_newer(left, "e", right, "m").collect()}[50] is None
 
 
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_asof_against_brute_force(spark, by):
+    rng = random.Random(9)
+    left = [(rng.choice("xy"), rng.choice([None, *range(50)]), i) for i in range(80)]
+    right = [(rng.choice("xyz"), rng.choice([None, *range(0, 60, 3)])) for _ in range(25)]
+    names = "g string, e int, i int"
+    l_df, r_df = spark.createDataFrame(left, names), spark.createDataFrame(right, "g string, m int")
+    got = {r["i"]: r["m"] for r in latest_not_newer(l_df, "e", r_df if by else r_df.drop("g"), "m", by).collect()}
+    for g, e, i in left:
+        fits = [m for h, m in right if m is not None and e is not None and m <= e and (not by or g == h)]
+        assert got[i] == max(fits, default=None)
+    assert latest_not_newer(l_df.limit(0), "e", r_df if by else r_df.drop("g"), "m", by).count() == 0
+
+
 def test_numbered(spark):
     df = spark.range(0, 5000).repartition(7).withColumn("x", F.col("id") % 13)
     got = numbered(df, [F.desc("x"), F.col("id")], "n").orderBy("n").collect()

@@ -56,18 +56,23 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     stage = Stage(edges.sparkSession)
     nodes = edges.select(F.col(a).alias("node")).unionAll(edges.select(F.col(b).alias("node"))).where("node is not null").distinct()
     links = stage.cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    while True:
+    def state(df: DataFrame) -> tuple:
+        """Size and digest of the links, to see when they stand still."""
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+    before = state(links)
+    while before[0]:
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = stage.cut(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         following = stage.cut(small)
-        same = following.exceptAll(links).limit(1).count() == 0 and following.count() == links.count()
         stage.drop(large, links)
-        links = following
-        if same:
+        links, now = following, state(following)
+        if now == before:
             break
+        before = now
     return nodes.join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
 
 

@@ -268,7 +268,7 @@ def quality(df: DataFrame, id_col: str, text_col: str, common_words: list[str])
     junk or mere repetition. A null or empty text has zeros throughout. Whole texts
     are read; repeated ids stay repeated.
     """
-    common = frozenset(_plain(w) for w in common_words)
+    common = frozenset(_plain(w) for w in common_words if w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,6 +12,7 @@ from tidewake.llm.leaks import leaked
 from tidewake.llm.mixing import mix
 from tidewake.llm.quality import quality
 from tidewake.llm.set_pairs import expanded, similar_sets
+from tidewake.operators import ml
 from tidewake.session import Stage
 
 
@@ -46,18 +47,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: What a profile shows is no behaviour, and for many accounts it is unknown.
-NOT_BEHAVIOUR = (
-    "account_handle", "analyst_label", "followers_count", "friends_count", "statuses_count", "account_age_days",
-    "default_profile", "default_profile_image", "is_blue_verified",
-)
+PROFILE = ("followers_count", "friends_count", "statuses_count", "account_age_days", "default_profile", "default_profile_image", "is_blue_verified")
+BEHAVIOUR = [*(f for f in ml.FEATURES if f not in PROFILE), "coordination_score"]
 RATIOS = ("retweet_ratio", "retweets_to_member_ratio", "top_amplified_share", "first_retweeter_ratio", "coordination_score")
 
 
 def _behaviour(spark: SparkSession, sf: str) -> DataFrame:
     table = read(spark, sf, "ml_feature_matrix")
-    features = [c for c in table.columns if c not in NOT_BEHAVIOUR]
-    logs = [c for c in features if c not in RATIOS and not c.startswith("role_")]
-    return density_clusters(scaled_vectors(table, "account_handle", features, logs))
+    logs = [c for c in BEHAVIOUR if c not in RATIOS and not c.startswith("role_")]
+    return density_clusters(scaled_vectors(table, "account_handle", BEHAVIOUR, logs))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

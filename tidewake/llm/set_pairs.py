@@ -87,10 +87,8 @@ def similar_sets(
     )
     longest = F.greatest(F.lit(min_shared), F.ceil(F.col("n") * F.lit(threshold)))
     candidates: DataFrame | None = None
-    previous: DataFrame | None = None
     for depth in range(1, max_depth + 1):
         entered = stage.cut(level)
-        stage.drop(previous)
         crowds = entered.groupBy("node").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
         done = (F.col("crowd") <= node_size) | (F.lit(depth) >= longest) | F.lit(depth == max_depth)
         here = stage.cut(entered.join(crowds, "node").withColumn("stops", done).drop("crowd"))
@@ -109,7 +107,6 @@ def similar_sets(
         onward = here.where("not stops")
         if depth == max_depth or not onward.limit(1).count():
             break
-        previous = None
         level = (
             onward.join(sets.select("rec", "tok"), "rec")
             .where(~F.array_contains("path", F.col("tok")))

@@ -34,8 +34,8 @@ def coordination_score() -> Column:
     ).cast("double")
 
 
-def account_summary(posts: DataFrame, members: DataFrame, casc: DataFrame) -> DataFrame:
-    """One row per account that posted. The most amplified source of an account is, of
+def account_summary(posts: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One row per account that posted. ``firsts`` has each cascade's ``first_retweeter``. The most amplified source of an account is, of
     equally often amplified ones, the one it amplified first."""
     boost = F.col("is_retweet")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
@@ -60,14 +60,14 @@ def account_summary(posts: DataFrame, members: DataFrame, casc: DataFrame) -> Da
             F.max_by(F.struct("source", "n"), F.struct("n", (-F.col("seen")).alias("seen"))).alias("top"),
         )
     )
-    firsts = casc.groupBy(F.col("first_retweeter").alias("author_handle")).agg(F.count(F.lit(1)).alias("first_retweeter_count"))
+    led = firsts.groupBy(F.col("first_retweeter").alias("author_handle")).agg(F.count(F.lit(1)).alias("first_retweeter_count"))
     profile = members.select(
         F.col("screen_name").alias("author_handle"), F.lit(True).alias("in_list"), "followers_count", "friends_count", "statuses_count",
         F.col("created_at").alias("account_created_at"), "default_profile", "default_profile_image", "is_blue_verified", "profile_description_language",
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(zero(a), F.col(b)), F.lit(0.0)), 4)
-    out = base.join(sources, "author_handle", "left").join(firsts, "author_handle", "left").join(profile, "author_handle", "left")
+    out = base.join(sources, "author_handle", "left").join(led, "author_handle", "left").join(profile, "author_handle", "left")
     out = out.select(
         F.col("author_handle").alias("account_handle"),
         F.coalesce("in_list", F.lit(False)).alias("in_member_list"),

@@ -96,6 +96,12 @@ def cascades(posts: DataFrame) -> DataFrame:
     )
 
 
+def first_amplifiers(posts: DataFrame) -> DataFrame:
+    """``(original_tweet_id, first_retweeter)`` of every cascade, from the order's columns alone."""
+    led = posts.where("is_retweet").groupBy(F.col("content_tweet_id").alias("original_tweet_id")).agg(F.min(cascade_order()).alias("o"))
+    return led.select("original_tweet_id", F.col("o.author_handle").alias("first_retweeter"))
+
+
 def cascade_accounts(posts: DataFrame) -> DataFrame:
     """``(original_tweet_id, account_handle, first)``: who amplified what, and when first
     (the order key). The relation behind every list of a cascade's accounts."""

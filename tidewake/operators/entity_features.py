@@ -69,6 +69,8 @@ def widen(features: DataFrame, kinds: list[str], columns: list[str], prefix: str
     place, which costs far less than a pivot with a buffer of all cells per entity
     when there are hundreds of kinds and an entity has few of them.
     """
+    if not kinds:
+        return features.select("entity").distinct()
     cell = F.struct(*columns)
     rows = features.where(F.col("kind").isin(kinds)) if len(kinds) < 50 else features.where("kind is not null")
     sparse = rows.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", cell.alias("cell")))).alias("m"))

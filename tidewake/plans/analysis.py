@@ -52,7 +52,7 @@ def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 def _accounts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     posts, casc, _ = _cascades(spark, sf)
     members = members_of(spark, sf)
-    return posts, casc, members, account.account_summary(posts, members, casc)
+    return posts, casc, members, account.account_summary(posts, members, cascade.first_amplifiers(posts))
 
 
 def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,10 +201,11 @@ def first_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    posts, casc, members, accounts = _accounts(spark, sf)
+    posts, _, members, accounts = _accounts(spark, sf)
     when = posts.agg(F.max("posted_at")).first()[0]
-    leads = casc.groupBy(F.col("first_retweeter").alias("account_handle")).agg(F.count(F.lit(1)).alias("propagation_lead_count"))
-    total = casc.agg(F.count(F.lit(1)).alias("total_cascades"))
+    led = cascade.first_amplifiers(posts)
+    leads = led.groupBy(F.col("first_retweeter").alias("account_handle")).agg(F.count(F.lit(1)).alias("propagation_lead_count"))
+    total = led.agg(F.count(F.lit(1)).alias("total_cascades"))
     return account.feature_matrix(accounts, _network(spark, sf)[1], F.lit(when), account.account_roles(members, accounts), leads, total)
 
 

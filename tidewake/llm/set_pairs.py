@@ -19,6 +19,9 @@ from tidewake.session import Stage
 
 #: Chance that a tree with two expected common children a node loses a pair (branching process).
 TREE_LOSS = 0.21
+#: A node that keeps more than this part of its parent's records isn't split further: its
+#: records are alike, and splitting would repeat them in every branch.
+SPLITS_TO = 0.75
 #: Sets up to this size are verified as arrays; larger ones by joining their rows.
 ARRAY_LIMIT = 20_000
 
@@ -70,7 +73,8 @@ def similar_sets(
 
     A record of size n shares at least ``max(min_shared, threshold * n)`` values with
     any partner, so its paths may grow that long; where it stops it is compared with
-    every record of the node whose size allows the threshold. No node is ever
+    every record of the node whose size allows the threshold. Nodes of records so alike
+    that branching doesn't part them are compared where they are. No node is ever
     gathered into one task: nodes are compared by an equi-join, which spills and splits.
     """
     stage = Stage(df.sparkSession)
@@ -83,15 +87,15 @@ def similar_sets(
     level = (
         sets.select("rec", "n", "tok", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
         .where(_chosen(root, F.col("tok"), branches, F.col("n")))
-        .select(F.xxhash64(root, "tok").alias("node"), "rec", "n", F.array("tok").alias("path"))
+        .select(F.xxhash64(root, "tok").alias("node"), "rec", "n", F.array("tok").alias("path"), F.lit(1 << 60).alias("was"))
     )
     longest = F.greatest(F.lit(min_shared), F.ceil(F.col("n") * F.lit(threshold)))
     candidates: DataFrame | None = None
     for depth in range(1, max_depth + 1):
         entered = stage.cut(level)
         crowds = entered.groupBy("node").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-        done = (F.col("crowd") <= node_size) | (F.lit(depth) >= longest) | F.lit(depth == max_depth)
-        here = stage.cut(entered.join(crowds, "node").withColumn("stops", done).drop("crowd"))
+        done = (F.col("crowd") <= node_size) | (F.col("crowd") > SPLITS_TO * F.col("was")) | (F.lit(depth) >= longest) | F.lit(depth == max_depth)
+        here = stage.cut(entered.join(crowds, "node").withColumn("stops", done).withColumn("was", F.col("crowd")).drop("crowd"))
         stage.drop(entered)
         x = here.where("stops").select("node", F.col("rec").alias("xr"), F.col("n").alias("xn"))
         y = here.select("node", F.col("rec").alias("yr"), F.col("n").alias("yn"), F.col("stops").alias("ys"))
@@ -111,7 +115,7 @@ def similar_sets(
             onward.join(sets.select("rec", "tok"), "rec")
             .where(~F.array_contains("path", F.col("tok")))
             .where(_chosen(F.col("node"), F.col("tok"), branches, F.col("n") - F.lit(depth)))
-            .select(F.xxhash64("node", "tok").alias("node"), "rec", "n", F.array_append("path", F.col("tok")).alias("path"))
+            .select(F.xxhash64("node", "tok").alias("node"), "rec", "n", F.array_append("path", F.col("tok")).alias("path"), "was")
         )
     found = stage.cut(candidates.distinct())
     return _verified(found, sets, threshold, min_shared), membership

@@ -57,14 +57,19 @@ class Stage:
         path = f"{self.base}/{self.count}"
         self.count += 1
         df.write.mode("overwrite").parquet(path)
+        if self.count == 1:  # the folder goes when the application ends
+            self._files(self.base, lambda fs, where: fs.deleteOnExit(where))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        jvm = self.spark.sparkContext._jvm
         for frame in frames:
             path = self.paths.pop(id(frame), None)
             if path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                self._files(path, lambda fs, where: fs.delete(where, True))
+
+    def _files(self, path: str, do) -> None:
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        do(where.getFileSystem(context._jsc.hadoopConfiguration()), where)

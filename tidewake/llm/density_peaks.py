@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.session import Stage
@@ -241,7 +241,8 @@ def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BL
     to the nearest denser record (null for the densest of all). Records with equal
     vectors are one weighted point, so a group of copies costs one. Ties in density
     go to the smaller record. The ``MOST_PEAKS`` records of the highest density times
-    distance are tried as peaks; the widest gap in distance decides how many are. No record: no rows; one record: its own cluster.
+    distance are tried as peaks; the widest gap in distance decides how many are. No
+    record: no rows; one record: its own cluster.
     """
     stage = Stage(vectors.sparkSession)
     vectors = stage.cut(vectors)
@@ -252,7 +253,7 @@ def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BL
     points = stage.cut(vectors.groupBy("vec").agg(F.min("record").alias("id"), F.count(F.lit(1)).alias("weight")).select("id", "vec", "weight"))
     placed = stage.cut(blocks(stage, points, len(first[0]), layouts, block, seed))
     kth = _by_block(placed.where("layout = 0"), ["vec", "weight"], _neighbour_distance(NEIGHBOUR), "kth double")
-    radius = kth.select(F.percentile("kth", F.lit(0.5))).first()[0] or 1.0
+    radius = kth.select(F.percentile_approx("kth", 0.5, 10_000)).first()[0] or 1.0  # over all points, in bounded memory
     rho = _by_block(placed, ["id", "vec", "weight", "share"], _density(radius), f"id {kind}, rho double").groupBy("id").agg(F.max("rho").alias("rho"))
     rho = stage.cut(rho)
     dense = stage.cut(points.join(rho, "id").select("id", "rho", "vec"))
@@ -296,8 +297,6 @@ def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BL
 def describe(clusters: DataFrame, typical: int = 5) -> DataFrame:
     """``(cluster_id, cluster_size, typical_records)`` per cluster: ids by falling size,
     the most typical members are those of the highest density."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy("cluster").orderBy(F.desc("rho"), "record")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     best = clusters.withColumn("k", F.row_number().over(by)).where(F.col("k") <= typical)

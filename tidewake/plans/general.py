@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewake.operators.entity_features import cumulative_store, widen, window_features
 from tidewake.operators.nested import shred_posts
 from tidewake.operators.snapshot_diff import snapshot_changes
+from tidewake.session import Stage
 
 COMPARED = ["screen_name", "followers_count", "statuses_count"]
 KINDS = ["original", "amplification", "quote"]
@@ -50,9 +51,11 @@ def p5_entity_features(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("is_retweet"), "amplification").when(F.col("is_quote"), "quote").otherwise("original")
     posts = posts.withColumn("action", kind)
     posts = posts.withColumn("type", F.concat_ws(":", "action", F.coalesce("source_client", F.lit("unknown"))))
-    as_of, types = posts.agg(F.max(F.to_date("posted_at")), F.sort_array(F.collect_set("type"))).first()
+    posts = Stage(spark).cut(posts)  # deduplicated once for the store, the types and the two figures below
+    as_of = posts.agg(F.max(F.to_date("posted_at"))).first()[0]
+    types = sorted(r[0] for r in posts.select("type").distinct().limit(MAX_TYPES + 1).collect())
     if len(types) > MAX_TYPES:
-        raise ValueError(f"{len(types)} event types; a table has at most {MAX_TYPES}")
+        raise ValueError(f"a table has at most {MAX_TYPES} event types")
     # one store by the fine types; the kinds' features are sums of theirs
     fine = window_features(cumulative_store(posts, "author_handle", "type", "posted_at", "used"), as_of, WINDOWS)
     measures = ["count", "total", *[f"{m}_{w}" for w in WINDOWS for m in ("count", "total")]]

@@ -201,6 +201,7 @@ def test_words():
 @pytest.mark.parametrize("sent", [10**6, 0])
 def test_leaks_against_brute_force(spark, monkeypatch, sent):
     monkeypatch.setattr(leaks, "SENT_GRAMS", sent)
+    monkeypatch.setattr(leaks, "SENT_PAIRS", sent)
     rng = random.Random(4)
     word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(30))
     items = [(i, " ".join(word() for _ in range(rng.randrange(8, 40)))) for i in range(12)] + [(90, None), (91, ""), (92, "short passage")]

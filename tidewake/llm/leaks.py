@@ -23,6 +23,9 @@ SEED_WORDS = 5
 #: Item n-grams up to which the set of their hashes is sent to the tasks (8 bytes each);
 #: with more, documents' n-grams are joined with them instead.
 SENT_GRAMS = 2_000_000
+#: Pairs of a document and an item up to which they are sent to the documents' tasks, so
+#: that no text moves; with more, documents are shuffled to them.
+SENT_PAIRS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -159,7 +162,10 @@ def leaked(
     item_grams, hits = seed_hits(stage, docs, items, seed_words)
     seeds = rare_seeds(item_grams, hits, run, seed_words)
     pairs = stage.cut(hits.join(seeds, "gram").select("doc", "item").distinct())
-    rows = pairs.join(items, "item").join(docs, "doc").select("doc", "item", "text", "passage")
+    if pairs.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS:
+        rows = docs.join(F.broadcast(pairs), "doc").join(items, "item").select("doc", "item", "text", "passage")
+    else:
+        rows = pairs.join(items, "item").join(docs, "doc").select("doc", "item", "text", "passage")
 
     def run_align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

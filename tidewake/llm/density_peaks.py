@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewake.session import Stage
 
-LAYOUTS = 5
+LAYOUTS = 8
 BLOCK = 2048
 #: Hyperplanes of a layout; what is still together after all of them differs by next to nothing.
 PLANES = 48
@@ -88,7 +88,7 @@ def blocks(stage: Stage, points: DataFrame, dims: int, layouts: int, size: int,
     open_ = stage.cut(points.select("id", "vec").mapInArrow(sides, f"id {kind}, layout int, code string"))
     n = open_.count() / layouts
     done: DataFrame | None = None
-    bits = max(0, math.floor(math.log2(max(1, n / size))))
+    bits = max(0, math.ceil(math.log2(max(1, n / size))))
     while True:
         prefixed = stage.cut(open_.withColumn("block", F.concat_ws(":", "layout", F.substring("code", 1, bits))))
         crowd = prefixed.groupBy("block").agg(F.count(F.lit(1)).alias("crowd"))
@@ -104,7 +104,7 @@ def blocks(stage: Stage, points: DataFrame, dims: int, layouts: int, size: int,
         open_ = counted.where(F.col("crowd") > size).select("id", "layout", "code")
         if not open_.limit(1).count():
             break
-        bits = min(PLANES, bits + 2)
+        bits = min(PLANES, bits + 4)  # few rounds; a round costs jobs, a smaller block little
     return done.join(points, "id")
 
 

@@ -12,7 +12,7 @@ from tidewake.operators import propagation as prop
 from tidewake.session import Stage
 
 MIN_SHARED = 2
-#: The network, cohort and feature queries take pairs that share this many originals.
+#: Only the SQL of ``oracle.py`` still takes pairs that share this many originals; the queries take MIN_SHARED.
 NETWORK_SHARED = 5
 
 
@@ -45,7 +45,7 @@ def _cascades(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = Stage(spark).cut(overlap.account_overlap(posts_of(spark, sf), NETWORK_SHARED))
+    pairs = Stage(spark).cut(overlap.account_overlap(posts_of(spark, sf), MIN_SHARED))
     return (pairs, *overlap.overlap_network(pairs))
 
 

@@ -115,43 +115,45 @@ def tight_edges(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.tight_edges(overlap.account_overlap(posts_of(spark, sf), MIN_SHARED))
 
 
-def _fixed_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of an earlier run stand in for cohorts."""
-    nodes = spark.read.parquet(f"{sf}/network_nodes.parquet").where("component_id is not null")
-    return nodes.select(F.col("component_id").alias("cohort_id"), "account_handle")
+def _cohorts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the network and its cohorts."""
+    _, casc, accounts = _cascades(spark, sf)
+    pairs, nodes, _ = _network(spark, sf)
+    stage = Stage(spark)
+    return nodes, stage.cut(cohort.cohorts(casc, accounts, stage.cut(cohort.communities(pairs, min_shared=MIN_SHARED)), nodes))
 
 
-def cohort_by_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(cohort.cohorts_by_cascade(_fixed_cohorts(spark, sf), _cascades(spark, sf)[2]))
+def _by_cascade(coh: DataFrame, accounts: DataFrame) -> DataFrame:
+    return cohort.cohorts_by_cascade(coh.select("cohort_id", F.explode("members").alias("account_handle")), accounts)
 
 
-def _cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    posts, casc, accounts = _cascades(spark, sf)
-    pairs, nodes, _ = _network(spark, sf)
-    return cohort.cohorts(casc, accounts, Stage(spark).cut(cohort.communities(pairs)), nodes)
+def cohort_by_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(_by_cascade(_cohorts(spark, sf)[1], _cascades(spark, sf)[2]))
 
 
 def cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(_cohorts(spark, sf))
+    return shown(_cohorts(spark, sf)[1])
 
 
 def account_roles(spark: SparkSession, sf: str) -> DataFrame:
     posts, _, members, accounts = _accounts(spark, sf)
     when = posts.agg(F.max("posted_at")).first()[0]
-    return shown(account.account_roles(members, accounts, None, F.lit(when)))
+    return shown(account.account_roles(members, accounts, cohort.cohorts_by_account(_cohorts(spark, sf)[1]), F.lit(when)))
 
 
 def target_summary(spark: SparkSession, sf: str) -> DataFrame:
     posts, casc, members, accounts = _accounts(spark, sf)
     who = cascade.cascade_accounts(posts)
-    roles = account.account_roles(members, accounts)
-    return shown(prop.amplified_targets(posts, casc, who, cascade.source_cascades(casc, who), members, _network(spark, sf)[1], roles))
+    nodes, coh = _cohorts(spark, sf)
+    roles = account.account_roles(members, accounts, cohort.cohorts_by_account(coh))
+    return shown(prop.amplified_targets(posts, casc, who, cascade.source_cascades(casc, who), members, nodes, roles))
 
 
 def propagation(spark: SparkSession, sf: str) -> DataFrame:
     posts, casc, members, accounts = _accounts(spark, sf)
-    by_cascade = cohort.cohorts_by_cascade(_fixed_cohorts(spark, sf), cascade.cascade_accounts(posts))
-    return shown(prop.propagation(posts, casc, members, _network(spark, sf)[1], account.account_roles(members, accounts), by_cascade))
+    nodes, coh = _cohorts(spark, sf)
+    roles = account.account_roles(members, accounts, cohort.cohorts_by_account(coh))
+    return shown(prop.propagation(posts, casc, members, nodes, roles, _by_cascade(coh, cascade.cascade_accounts(posts))))
 
 
 def target_hhi(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +180,8 @@ def client_share(spark: SparkSession, sf: str) -> DataFrame:
 def role_mix(spark: SparkSession, sf: str) -> DataFrame:
     posts, _, members, accounts = _accounts(spark, sf)
     counts = posts.where("is_retweet").groupBy(F.col("content_author_handle").alias("target"), F.col("author_handle").alias("account_handle"))
-    return prop.role_mix(counts.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("seen")), "target", account.account_roles(members, accounts))
+    roles = account.account_roles(members, accounts, cohort.cohorts_by_account(_cohorts(spark, sf)[1]))
+    return prop.role_mix(counts.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("seen")), "target", roles)
 
 
 def burst_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,15 +192,18 @@ def burst_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread_path(spark: SparkSession, sf: str) -> DataFrame:
-    posts, casc, _ = _cascades(spark, sf)
-    paths = prop.spread_paths(prop.steps(posts, casc), casc, _network(spark, sf)[1], None)
-    one = lambda s: F.concat_ws(",", s["handle"], s["elapsed_sec"].cast("string"), s["component_id"].cast("string"))
+    posts, casc, accounts = _cascades(spark, sf)
+    nodes, coh = _cohorts(spark, sf)
+    paths = prop.spread_paths(prop.steps(posts, casc), casc, nodes, _by_cascade(coh, accounts))
+    one = lambda s: F.concat_ws(",", s["handle"], *[s[c].cast("string") for c in ("elapsed_sec", "component_id", "cohort_id")])
     return shown(paths.withColumn("steps", F.transform("steps", one)))
 
 
 def first_profiles(spark: SparkSession, sf: str) -> DataFrame:
     _, casc, members, accounts = _accounts(spark, sf)
-    return shown(prop.first_profiles(casc, account.account_roles(members, accounts), None, _network(spark, sf)[1]))
+    nodes, coh = _cohorts(spark, sf)
+    by_account = cohort.cohorts_by_account(coh)
+    return shown(prop.first_profiles(casc, account.account_roles(members, accounts, by_account), by_account, nodes))
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +212,9 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     led = cascade.first_amplifiers(posts)
     leads = led.groupBy(F.col("first_retweeter").alias("account_handle")).agg(F.count(F.lit(1)).alias("propagation_lead_count"))
     total = led.agg(F.count(F.lit(1)).alias("total_cascades"))
-    return account.feature_matrix(accounts, _network(spark, sf)[1], F.lit(when), account.account_roles(members, accounts), leads, total)
+    nodes, coh = _cohorts(spark, sf)
+    roles = account.account_roles(members, accounts, cohort.cohorts_by_account(coh))
+    return account.feature_matrix(accounts, nodes, F.lit(when), roles, leads, total, coh)
 
 
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:

@@ -235,7 +235,7 @@ def stored_canonical_text_differs(spark: SparkSession, sf: str) -> DataFrame:
 def client_label(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/raw_posts.parquet")
     source = F.get_json_object("payload", "$.source")
-    return rows.where(F.get_json_object("payload", "$.rest_id").isNotNull()).select("raw_id", tx.client_label(source).alias("client"))
+    return rows.where(F.get_json_object("payload", "$").isNotNull()).select("raw_id", tx.client_label(source).alias("client"))
 
 
 def handle_from_url(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.operators.ranking import numbered
+from tidewake.session import Stage
 
 # The model's features in order; the second tuple isn't put on a log scale.
 FEATURES = (
@@ -28,8 +29,11 @@ PLAIN = (
     "retweet_ratio", "retweets_to_member_ratio", "top_amplified_share", "default_profile", "default_profile_image", "is_blue_verified", "cohort_count",
     "role_retail_user", "role_amplifier_suspect", "role_media_business", "role_journalist_public_figure", "role_source_hub", "first_retweeter_ratio",
 )
-#: Rows on which the silhouette is taken when choosing the number of clusters, and an isolation tree's sample.
-SILHOUETTE_ROWS = 4000
+#: Rows in a block when distances of all rows to all rows are taken.
+BLOCK_ROWS = 1024
+#: k-means runs of which the best counts.
+STARTS = 20
+#: An isolation tree's sample.
 TREES, TREE_ROWS = 100, 256
 
 
@@ -53,21 +57,60 @@ def _vectors(scaled: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled).select("account_handle", "features")
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette; a cluster of one counts 0."""
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
-    ks = np.unique(labels)
-    if len(ks) < 2:
-        return -1.0
-    sums = np.stack([d[:, labels == k].sum(1) for k in ks], 1)
-    size = np.array([(labels == k).sum() for k in ks])
-    own = np.searchsorted(ks, labels)
-    a = sums[np.arange(len(x)), own] / np.maximum(size[own] - 1, 1)
-    means = sums / size
-    means[np.arange(len(x)), own] = np.inf
-    b = means.min(1)
-    s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)
-    return float(s.mean())
+def silhouettes(vectors: DataFrame, n: int, models: dict[int, np.ndarray]) -> dict[int, float]:
+    """Mean Euclidean silhouette of all ``n`` rows for each model's centres; a cluster of
+    one counts 0, a single cluster in all is -1.
+
+    Blocks of rows meet all blocks, for all models at once; a row's sums of distances
+    to each cluster are added up afterwards.
+    """
+    width = len(FEATURES)
+    ks = sorted(models)
+    sums = "row bigint, " + ", ".join(f"s{k} array<double>" for k in ks)
+    nearest = lambda x, k: ((x[:, None, :] - models[k][None]) ** 2).sum(2).argmin(1)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, width)
+            found = np.stack([nearest(x, k) for k in ks], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist()), pa.array(found.tolist(), pa.list_(pa.int64()))], ["row", "x", "labels"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y, labels = np.array(r["x"]).reshape(-1, width), np.array(r["y"]).reshape(-1, width), np.array(r["labels"]).reshape(-1, len(ks))
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+                if r["a"] == r["b"]:
+                    np.fill_diagonal(d, 0)
+                out = [pa.array((d @ (labels[:, i, None] == np.arange(len(models[k]))[None])).tolist(), pa.list_(pa.float64())) for i, k in enumerate(ks)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["rows"]), *out], ["row", *[f"s{k}" for k in ks]])
+
+    stage = Stage(vectors.sparkSession)
+    numbers = numbered(vectors.select("account_handle", vector_to_array("features").alias("x")), [F.col("account_handle")], "row")
+    rows = stage.cut(numbers.select("row", "x").mapInArrow(label, "row bigint, x array<double>, labels array<bigint>"))
+    sizes = {k: [0] * len(models[k]) for k in ks}
+    for r in rows.select(F.posexplode("labels").alias("i", "c")).groupBy("i", "c").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[ks[r["i"]]][r["c"]] = r["n"]
+    gather = F.array_sort(F.collect_list(F.struct("row", "x", "labels")))
+    flat = lambda field: F.flatten(F.transform("g", lambda g: g[field]))
+    groups = rows.groupBy(F.floor(F.col("row") / BLOCK_ROWS).alias("b")).agg(gather.alias("g"))
+    blocks = stage.cut(groups.select("b", F.transform("g", lambda g: g["row"]).alias("rows"), flat("x").alias("x"), flat("labels").alias("labels")))
+    left, right = blocks.select(F.col("b").alias("a"), "rows", "x"), blocks.select("b", F.col("x").alias("y"), "labels")
+    pairs = math.ceil(n / BLOCK_ROWS) ** 2
+    met = left.crossJoin(right).repartition(min(pairs, 2000), "a", "b") if pairs > 1 else left.crossJoin(right)
+    parts = met.mapInArrow(meet, sums)
+    total = parts.groupBy("row").agg(*[F.array(*[F.sum(F.col(f"s{k}")[c]) for c in range(len(models[k]))]).alias(f"s{k}") for k in ks]).join(rows.select("row", "labels"), "row")
+    each = []
+    for i, k in enumerate(ks):
+        size, own = F.array(*[F.lit(float(z)) for z in sizes[k]]), F.col("labels")[i]
+        a = F.element_at(f"s{k}", (own + 1).cast("int")) / F.greatest(F.element_at(size, (own + 1).cast("int")) - 1, F.lit(1.0))
+        means = [F.when(own != c, F.col(f"s{k}")[c] / z) for c, z in enumerate(sizes[k]) if z]
+        b = F.array_min(F.array(*means))
+        s = F.when(F.element_at(size, (own + 1).cast("int")) > 1, (b - a) / F.greatest(a, b, F.lit(1e-12))).otherwise(0.0)
+        each.append(F.avg(s).alias(f"m{k}") if len(means) > 1 else F.lit(-1.0).alias(f"m{k}"))
+    found = total.agg(*each).first()
+    stage.drop(rows, blocks)
+    return {k: found[f"m{k}"] for k in ks}
 
 
 def _different(vectors: DataFrame, most: int) -> int:
@@ -77,25 +120,23 @@ def _different(vectors: DataFrame, most: int) -> int:
 
 def choose_clusters(vectors: DataFrame, n: int, requested: int | None, seed: int) -> tuple[int, str]:
     """(k, how): the requested number within 1..n, else the best silhouette of 2..8 (the
-    smaller on a tie) on a bounded sample of rows (model selection only)."""
+    smaller on a tie) over all rows."""
     if n < 4:
         return 1, "fallback_small_sample"
     if requested:
         return max(1, min(requested, n, _different(vectors, requested))), "requested"
-    sample = vectors.orderBy(F.xxhash64("account_handle", F.lit(seed))).limit(SILHOUETTE_ROWS).collect()
-    x = np.array([r["features"].toArray() for r in sample])
+    most = min(8, n - 1, _different(vectors, 8))
+    if most < 2:
+        return 1, "fallback_single_cluster"
+    scores = silhouettes(vectors, n, {k: fit_clusters(vectors, k, seed) for k in range(2, most + 1)})
     best = (-1.0, 1)
-    for k in range(2, min(8, n - 1, _different(vectors, 8)) + 1):
-        model = KMeans(k=k, seed=seed).fit(vectors)
-        centres = np.array(model.clusterCenters())
-        labels = ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-        score = silhouette(x, labels)
+    for k, score in scores.items():
         if score > best[0] + 1e-12:
             best = (score, k)
     return (best[1], "silhouette") if best[1] > 1 else (1, "fallback_single_cluster")
 
 
-def fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int = 5) -> np.ndarray:
+def fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int = STARTS) -> np.ndarray:
     """Centres of the best of several k-means runs."""
     if k == 1:
         zipped = vectors.select(F.posexplode(vector_to_array("features")).alias("i", "v"))

@@ -185,10 +185,10 @@ def role_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def burst_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Amplifications per original and quarter of an hour, as the streaming operator counts them."""
+    """Amplifications and their accounts per original and quarter of an hour, as the streaming operator counts them."""
     from tidewake.streaming.bursts import burst_counts
 
-    return shown(burst_counts(posts_of(spark, sf)).drop("accounts"))
+    return shown(burst_counts(posts_of(spark, sf)))
 
 
 def spread_path(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,10 @@ DELIMITERS = ("|", "\t", ";", ",", "::", " : ", " ~ ", "/", "   ")
 # Vowels of the Latin, Greek and Cyrillic scripts, without accents.
 VOWELS = frozenset("aeiouyæœøıαεηιουωаеиоуыэюяіє")
 
+# Scripts whose vowels are listed, and scripts that write words without blanks.
+VOWELLED = ("LATIN", "GREEK", "CYRILLIC")
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "BOPOMOFO", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN")
+
 _MARKER = re.compile(r"\s*(?:([-*•–—·▪◦‣+#→]+)|(\(?\d{1,4}[.):\]])|(\(?[a-zA-Z][.)])|(\[.?\]|☐|☑|✓|✔))\s+")
 _LOG = re.compile(r"\W*(?:\d{4}-\d\d-\d\d[T ]?|\d\d?[/.]\d\d?[/.]\d{2,4}\s|\d\d:\d\d(?::\d\d)?\b|\[?(?:INFO|WARN|ERROR|DEBUG|SKIP)\b)")
 _PAIR = re.compile(r"[\w.-]+=[^\s=]+")
@@ -50,6 +55,19 @@ def _plain(text: str) -> str:
     return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
 
 
+@cache
+def _script(c: str) -> str:
+    """The script of a letter or mark as its Unicode name begins; '' for anything else. Styled
+    and wide letters count as what they stand for."""
+    c = unicodedata.normalize("NFKC", c)[:1]
+    return unicodedata.name(c, "").partition(" ")[0] if unicodedata.category(c)[0] in "LM" else ""
+
+
+def _vowelled(word: str) -> bool:
+    """Whether the word is written in scripts whose vowels are listed."""
+    return word.isascii() or all(_script(c) in ("", "COMBINING", "MODIFIER", *VOWELLED) for c in word)
+
+
 class _Line:
     __slots__ = ("text", "size", "words", "plain", "letters", "marker", "indent", "ends", "inner", "kind", "cells")
 
@@ -171,14 +189,20 @@ def _junk(line: _Line, common: frozenset[str]) -> str:
             return "list"
     if not text.isascii() and len(_MOJIBAKE.findall(text)) * 2 / n > 0.25:
         return "junk"
-    if (line.letters + text.count(" ")) / n < 0.6:
+    scripts = {"LATIN"} if text.isascii() else set(map(_script, set(text)))
+    # vowel signs of other scripts are marks, no letters
+    plain_scripts = scripts <= {"", "COMBINING", "MODIFIER", *VOWELLED}
+    marks = 0 if plain_scripts else sum(_script(c) not in ("", "COMBINING", *VOWELLED) and unicodedata.category(c)[0] == "M" for c in text)
+    if (line.letters + marks + text.count(" ")) / n < 0.6:
         return "junk"
-    if n > 40 and sum(len(t) for t in text.split() if len(t) > 40 and not _REFERENCE.match(t)) / n > 0.4:
+    spaced = not scripts.intersection(UNSPACED)
+    if spaced and n > 40 and sum(len(t) for t in text.split() if len(t) > 40 and not _REFERENCE.match(t)) / n > 0.4:
         return "junk"
-    if line.words and max(map(len, line.words)) > 40 or line.letters / max(1, len(line.words)) > 18:
+    if spaced and line.words and max(map(len, line.words)) > 40 or spaced and line.letters / max(1, len(line.words)) > 18:
         return "junk"
     if len(line.words) >= 4:
-        if len(_DULL.findall(" ".join(line.plain))) / len(line.plain) > 0.3:
+        told = line.plain if plain_scripts else [w for w in line.plain if _vowelled(w)]
+        if len(told) >= min(4, len(line.plain)) and len(_DULL.findall(" ".join(told))) / len(told) > 0.3:
             return "junk"
     if len(line.words) >= 8 and not line.ends and 15 * sum(map(text.count, ",;:.")) < len(line.words) and _function_share(line.plain, common) < 0.12:
         return "junk"

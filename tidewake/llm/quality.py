@@ -1,8 +1,8 @@
 """Per-document text statistics that tell natural prose from lists, tables and junk.
 
 Structure is read from the lines: delimiters that stand in the same number on
-consecutive lines (vertical alignment), indentation that repeats with a period, and
-the autocorrelation of line lengths. Word, symbol, punctuation and repetition ratios
+consecutive lines (vertical alignment). Indentation that repeats with a period and
+the autocorrelation of line lengths are given, but mark no line. Word, symbol, punctuation and repetition ratios
 of every line decide the rest. Each character of a document is booked as prose or as
 one kind of non-prose; nothing is cut off.
 """

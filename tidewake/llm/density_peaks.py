@@ -260,20 +260,12 @@ def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BL
     found = _by_block(placed.select("block", "id", "vec").join(rho, "id"), ["id", "rho", "vec"], _denser, f"id {kind}, delta double, up {kind}")
     links = stage.cut(_nearest(found))
     tops = stage.cut(dense.join(links, "id", "left_anti"))
-    # with very many tops, look among the tops first, in blocks again
-    rounds = 0
     count = tops.count()
-    while count > 4 * QUERIES and rounds < 8:
-        rounds += 1
-        again = blocks(stage, tops, len(first[0]), layouts, block, seed + rounds)
-        more = stage.cut(_nearest(_by_block(again, ["id", "rho", "vec"], _denser, f"id {kind}, delta double, up {kind}")))
-        links = links.unionAll(more)
-        tops = stage.cut(tops.join(more, "id", "left_anti"))
-        count = tops.count()
     spread = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(count / QUERIES))))
     for part in range(max(1, math.ceil(count / QUERIES))):
         queries = tops.where(spread == part).collect()
-        links = links.unionAll(stage.cut(_against_all(dense, queries, kind)))
+        if queries:
+            links = links.unionAll(stage.cut(_against_all(dense, queries, kind)))
     links = stage.cut(dense.select("id", "rho").join(links, "id", "left"))
     far = F.coalesce("delta", F.lit(float("inf")))
     listed = links.orderBy((far * F.col("rho")).desc(), "id").limit(MOST_PEAKS).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.operators.cascade import seconds
@@ -29,39 +29,40 @@ def closest_edges(overlaps: DataFrame, min_tight: int = 2) -> DataFrame:
     )
 
 
-def label_communities(stage: Stage, edges: DataFrame, seed: int = 42, within: str | None = None) -> DataFrame:
+def _half_round(both: DataFrame, labels: DataFrame, moves: Column) -> DataFrame:
+    """``labels (n, label, moved)`` after the accounts that ``moves`` picks looked around once."""
+    current = labels.select("n", "label")
+    votes = both.withColumnRenamed("a", "n").where(moves).join(current.withColumnsRenamed({"n": "b", "label": "vote"}), "b").groupBy("n", "vote").agg(F.sum("w").alias("w"))
+    own = votes.join(current, "n")
+    # heaviest first; of those the account's own label, else the smallest
+    place = F.struct((-F.col("w")).alias("w"), (F.col("vote") != F.col("label")).alias("other"), "vote")
+    best = own.groupBy("n").agg(F.min(place).alias("p")).where("p.other").select("n", F.col("p.vote").alias("to"))
+    return labels.join(best, "n", "left").select("n", F.coalesce("to", "label").alias("label"), (F.col("moved") | F.col("to").isNotNull()).alias("moved"))
+
+
+def label_communities(stage: Stage, edges: DataFrame, seed: int = 42) -> DataFrame:
     """``(account_handle, label)`` by weighted label propagation over edges ``(a, b, w)``.
 
     In each round every account looks at its neighbours' labels and takes the heaviest
-    one; it keeps its own if that is among the heaviest, else takes the smallest. A
-    seeded half of the accounts moves per round, the other half stands still, so that
-    neighbours don't swap labels for ever; a whole pass without a move ends it. The
-    sequential form of the method visits accounts one by one, which only one machine
-    can do; labels can differ from it where votes tie. With ``within``, a
-    column of group names on the edges, groups are separate graphs.
+    one; it keeps its own if that is among the heaviest, else takes the smallest. One
+    seeded half of the accounts moves, then the other, so that neighbours don't swap
+    labels for ever; the halves are drawn anew each round; a round without a move, or
+    round ``ROUNDS``, ends it. The sequential form of the method visits accounts one by
+    one, which only one machine can do; labels can differ from it where votes tie. An
+    account's half depends on the md5 of its handle, seed and round, so SQL can repeat it.
     """
-    cols = [within] if within else []
-    live = edges.where(F.col("w") > 0)
-    both = stage.cut(live.select("a", "b", "w", *cols).unionAll(live.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w", *cols)))
+    live = edges.where((F.col("w") > 0) & F.col("a").isNotNull() & F.col("b").isNotNull())
+    both = stage.cut(live.select("a", "b", "w").unionAll(live.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     labels = stage.cut(both.select(F.col("a").alias("n"), F.col("a").alias("label")).distinct())
-    still = 0
-    for turn in range(2 * ROUNDS):
-        moves = F.pmod(F.xxhash64("n", F.lit(seed), F.lit(turn // 2)), F.lit(2)) == turn % 2
-        seen = both.where(F.col("a").isNotNull()).withColumnRenamed("a", "n").where(moves)
-        votes = seen.join(labels.withColumnsRenamed({"n": "b", "label": "vote"}), "b").groupBy("n", "vote").agg(F.sum("w").alias("w"))
-        own = votes.join(labels, "n")
-        rank = F.struct("w", (F.col("vote") == F.col("label")).alias("own"))
-        best = own.groupBy("n").agg(F.max(rank).alias("top"), F.first("label").alias("label"))
-        heaviest = own.join(best.select("n", "top"), "n").where("w = top.w").groupBy("n").agg(F.min("vote").alias("least"), F.max("top.own").alias("own"))
-        changed = heaviest.where("not own").select("n", "least")
-        following = stage.cut(labels.join(changed, "n", "left").select("n", F.coalesce("least", "label").alias("label"), F.col("least").isNotNull().alias("moved")))
-        moved = following.where("moved").limit(1).count()
+    for turn in range(ROUNDS):
+        early = F.md5(F.concat_ws(":", "n", F.lit(seed), F.lit(turn))) < "8"
+        still = labels.select("n", "label", F.lit(False).alias("moved"))
+        following, moved = stage.cut_counting(_half_round(both, _half_round(both, still, early), ~early), "moved")
         stage.drop(labels)
-        labels = following.select("n", "label")
-        still = 0 if moved else still + 1
-        if still >= 2 and turn % 2:
+        labels = following
+        if not moved:
             break
-    return labels.withColumnRenamed("n", "account_handle")
+    return labels.select(F.col("n").alias("account_handle"), "label")
 
 
 def communities(overlaps: DataFrame, seed: int = 42, min_shared: int = 2, min_size: int = 3, min_tight: int = 2) -> DataFrame:

@@ -10,40 +10,55 @@ from tidewake.operators.ranking import numbered
 from tidewake.session import Stage
 
 
-def account_overlap(posts: DataFrame, min_shared: int = 2) -> DataFrame:
+#: Accounts of an original that meet in one block; an original with more is split into pairs of blocks.
+BLOCK_ACCOUNTS = 1000
+
+
+def account_overlap(posts: DataFrame, min_shared: int = 2, block: int = BLOCK_ACCOUNTS) -> DataFrame:
     """Pairs that share ``min_shared`` originals or more, with rounded Jaccard and the
     numbers of amplification pairs at most 15 and 60 minutes apart.
 
     Pairs are made of amplifications, so an account that amplified an original twice
     is paired with itself. Accounts with fewer originals than ``min_shared`` can be in
-    no such pair and leave before the self-join; the pairs of one original are
-    counted where the join made them, so only per-original counts are shuffled.
+    no such pair and leave before the self-join; the others are numbered in order of
+    their handles, so that pairs are two numbers. An original's accounts are dealt into
+    blocks of about ``block`` by account; every two blocks meet in a group of their own,
+    so no task holds all pairs of a popular original, and two accounts meet once per
+    original. Rows without an account or an original belong to no pair.
     """
-    boosts = posts.where("is_retweet").select(
-        F.col("content_tweet_id").alias("o"), F.col("author_handle").alias("h"), F.unix_micros("posted_at").alias("t"), cascade_order().alias("k")
+    stage = Stage(posts.sparkSession)
+    boosts = posts.where("is_retweet and author_handle is not null and content_tweet_id is not null").select(
+        F.col("content_tweet_id").alias("o"), F.col("author_handle").alias("h"), F.unix_micros("posted_at").alias("t"), "row_id"
     )
-    sizes = boosts.select("h", "o").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared)
-    able = boosts.join(sizes.select("h"), "h", "left_semi")
-    left = able.select("o", F.col("h").alias("lh"), F.col("t").alias("lt"), F.col("k").alias("lk"))
-    right = able.select("o", F.col("h").alias("rh"), F.col("t").alias("rt"), F.col("k").alias("rk"))
+    again = Window.partitionBy("o", "h").orderBy("row_id")
+    rows = stage.cut(boosts.select("o", "h", "t", F.row_number().over(again).alias("r")))
+    sizes = rows.where("r = 1").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared)
+    able = numbered(sizes, [F.col("h")], "id")
+    kept = stage.cut(rows.join(able.select("h", "id"), "h").select("o", "id", "t", "r"))
+    crowds = kept.groupBy("o").agg(F.count(F.lit(1)).alias("m"))
+    crowds = crowds.where("m > 1").select("o", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("parts"))
+    placed = kept.join(crowds, "o").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = placed.select("o", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), *[F.col(c).alias("l" + c) for c in ("id", "t", "r")])
+    right = placed.select("o", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), *[F.col(c).alias("r" + c) for c in ("id", "t", "r")])
+    own = F.col("lid") == F.col("rid")
+    once = (F.col("i") < F.col("j")) | (F.col("lid") < F.col("rid")) | (own & (F.col("lr") < F.col("rr")))
     lag = F.abs(F.col("lt") - F.col("rt"))
-    met = left.join(right, "o").where("lk < rk").select("o", F.least("lh", "rh").alias("a"), F.greatest("lh", "rh").alias("b"), lag.alias("lag"))
-    near = lambda s: F.count_if(F.col("lag") <= s * 1_000_000)
-    by_original = met.groupBy("o", "a", "b").agg(near(QUARTER_HOUR).alias("w15"), near(HOUR).alias("w60"))
-    pairs = by_original.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared_retweets"), F.sum("w15").alias("shared_within_15m"), F.sum("w60").alias("shared_within_60m")
+    near = lambda s: F.count_if(lag <= s * 1_000_000)
+    first = (F.col("lr") == 1) & (F.col("rr") == F.when(own, 2).otherwise(1))
+    pairs = (
+        left.join(right, ["o", "i", "j"])
+        .where(once)
+        .groupBy(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b"))
+        .agg(F.count_if(first).alias("shared_retweets"), near(QUARTER_HOUR).alias("shared_within_15m"), near(HOUR).alias("shared_within_60m"))
+        .where(F.col("shared_retweets") >= min_shared)
     )
-    pairs = pairs.where(F.col("shared_retweets") >= min_shared)
-    a, b = sizes.select(F.col("h").alias("a"), F.col("n").alias("an")), sizes.select(F.col("h").alias("b"), F.col("n").alias("bn"))
+    side = lambda x: able.select(F.col("id").alias(x), F.col("h").alias(f"account_{x}"), F.col("n").alias(f"{x}n"))
     union = F.when(F.col("a") == F.col("b"), F.col("an")).otherwise(F.col("an") + F.col("bn") - F.col("shared_retweets"))
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .select(
-            F.col("a").alias("account_a"), F.col("b").alias("account_b"), "shared_retweets", F.round(F.col("shared_retweets") / union, 4).alias("jaccard"),
-            "shared_within_15m", "shared_within_60m",
-        )
-    )
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
+        .select("account_a", "account_b", "shared_retweets", F.round(F.col("shared_retweets") / union, 4).alias("jaccard"), "shared_within_15m", "shared_within_60m")
+    )
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -128,24 +143,29 @@ def overlap_network(overlaps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def k_core(edges: DataFrame, k: int = 3, weight: str = "shared_within_15m") -> DataFrame:
     """``(account_handle, core_rank)``: the largest threshold, up to ``k + 1``, at which the
-    account stays when accounts of smaller weighted degree are pruned repeatedly."""
+    account stays when accounts of smaller weighted degree are pruned repeatedly.
+
+    All thresholds are pruned at once: an account's rank starts at ``k + 1`` and falls to
+    the largest threshold that the weight of its links to accounts of that rank or more
+    still reaches, round by round, until nothing falls. A round is one job over the
+    links, which sums per account before anything is shuffled.
+    """
     stage = Stage(edges.sparkSession)
     kept = edges.where(F.col(weight) > 0).select(F.col("account_a").alias("a"), F.col("account_b").alias("b"), F.col(weight).alias("w"))
     # a pair with itself weighs once
     links = stage.cut(kept.unionAll(kept.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    ranks = stage.cut(links.select(F.col("a").alias("account_handle")).distinct().withColumn("core_rank", F.lit(0).cast("bigint")))
-    for level in range(1, k + 2):
-        while True:
-            weak = stage.cut(links.groupBy("a").agg(F.sum("w").alias("d")).where(F.col("d") < level).select("a"))
-            if not weak.limit(1).count():
-                break
-            following = stage.cut(links.join(weak, "a", "left_anti").join(weak.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b", "w"))
-            stage.drop(links, weak)
-            links = following
-        left = links.select(F.col("a").alias("account_handle")).distinct().withColumn("now", F.lit(level))
-        following = stage.cut(ranks.join(left, "account_handle", "left").select("account_handle", F.coalesce(F.col("now").cast("bigint"), "core_rank").alias("core_rank")))
+    ranks = stage.cut(links.select(F.col("a").alias("account_handle")).distinct().withColumn("core_rank", F.lit(k + 1).cast("bigint")))
+    levels = range(1, k + 2)
+    while True:
+        met = links.join(ranks.withColumnsRenamed({"account_handle": "b", "core_rank": "other"}), "b")
+        reached = met.groupBy("a").agg(*[F.sum(F.when(F.col("other") >= level, F.col("w")).otherwise(0)).alias(f"d{level}") for level in levels])
+        holds = F.greatest(F.lit(0), *[F.when(F.col(f"d{level}") >= level, level).otherwise(0) for level in levels])
+        fallen = F.least("core_rank", holds).cast("bigint")
+        now = ranks.join(reached.withColumnRenamed("a", "account_handle"), "account_handle").select(
+            "account_handle", fallen.alias("core_rank"), (fallen < F.col("core_rank")).alias("fell")
+        )
+        following, fell = stage.cut_counting(now, "fell")
         stage.drop(ranks)
-        ranks = following
-        if not links.limit(1).count():
-            break
-    return ranks
+        ranks = following.select("account_handle", "core_rank")
+        if not fell:
+            return ranks

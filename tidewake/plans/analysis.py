@@ -9,11 +9,22 @@ from pyspark.sql import types as T
 from tidewake.functions import text as tx
 from tidewake.operators import account, cascade, cohort, ml, overlap
 from tidewake.operators import propagation as prop
-from tidewake.session import Stage
+from tidewake.session import Stage, table_stamp
 
 MIN_SHARED = 2
-#: Only the SQL of ``oracle.py`` still takes pairs that share this many originals; the queries take MIN_SHARED.
-NETWORK_SHARED = 5
+#: Tables that several queries read, built once per session and state of the input.
+_BUILT: dict[tuple, tuple] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, build) -> tuple:
+    """What ``build(stage)`` gives, kept while the post table and the written tables are there unchanged."""
+    key = (id(spark), spark.sparkContext.applicationId, sf, name)
+    stamp = table_stamp(spark, f"{sf}/tweets.parquet")
+    known = _BUILT.get(key)
+    if known is None or known[0] != stamp or known[1] is not spark or not known[2].there():
+        stage = Stage(spark)
+        _BUILT[key] = known = (stamp, spark, stage, build(stage))
+    return known[3]
 
 
 def posts_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +56,13 @@ def _cascades(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = Stage(spark).cut(overlap.account_overlap(posts_of(spark, sf), MIN_SHARED))
-    return (pairs, *overlap.overlap_network(pairs))
+    """(pairs, nodes, components)."""
+
+    def build(stage: Stage) -> tuple:
+        pairs = stage.cut(overlap.account_overlap(posts_of(spark, sf), MIN_SHARED))
+        return (pairs, *map(stage.cut, overlap.overlap_network(pairs)))
+
+    return _once(spark, sf, "network", build)
 
 
 def _accounts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -112,15 +128,19 @@ def k_core(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tight_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.tight_edges(overlap.account_overlap(posts_of(spark, sf), MIN_SHARED))
+    return cohort.tight_edges(_network(spark, sf)[0])
 
 
 def _cohorts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of the network and its cohorts."""
-    _, casc, accounts = _cascades(spark, sf)
     pairs, nodes, _ = _network(spark, sf)
-    stage = Stage(spark)
-    return nodes, stage.cut(cohort.cohorts(casc, accounts, stage.cut(cohort.communities(pairs, min_shared=MIN_SHARED)), nodes))
+
+    def build(stage: Stage) -> tuple:
+        _, casc, accounts = _cascades(spark, sf)
+        groups = stage.cut(cohort.communities(pairs, min_shared=MIN_SHARED))
+        return (stage.cut(cohort.cohorts(casc, accounts, groups, nodes)),)
+
+    return nodes, _once(spark, sf, "cohorts", build)[0]
 
 
 def _by_cascade(coh: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -3,7 +3,39 @@
 from __future__ import annotations
 
 from tidewake.operators.ml import FEATURES, PLAIN
-from tidewake.plans.analysis import MIN_SHARED, NETWORK_SHARED
+from tidewake.plans.analysis import MIN_SHARED
+
+# One round of label propagation per step: the accounts of one half look around, then the others.
+_HALF = """v{i} AS (SELECT e.n, c.label AS vote, sum(w) AS w FROM {edges} e JOIN {from_} c ON c.n = e.m WHERE {when} GROUP BY 1, 2),
+      t{i} AS (SELECT v.n, arg_min(vote, struct_pack(w := -w, other := vote <> c.label, vote := vote)) AS vote FROM v{i} v JOIN {from_} c ON c.n = v.n GROUP BY 1),
+      l{i} AS (SELECT c.p, c.n, coalesce(t.vote, c.label) AS label, c.moved OR t.vote IS NOT NULL AND t.vote <> c.label AS moved FROM {from_} c LEFT JOIN t{i} t USING (n))"""
+_EARLY = "md5(e.n || ':42:' || c.p) < '8'"
+_SPREAD = """{out}(p, n, label, moved) AS (SELECT 0, n, n, true FROM (SELECT DISTINCT n FROM {edges})
+    UNION ALL SELECT p + 1, n, label, moved FROM (
+      WITH now AS (SELECT p, n, label, false AS moved FROM {out} WHERE p < 40 AND (SELECT bool_or(moved) FROM {out})),
+      {first},
+      {second}
+      SELECT * FROM l2))"""
+
+
+def _spread(out: str, edges: str) -> str:
+    first = _HALF.format(i=1, edges=edges, from_="now", when=_EARLY)
+    return _SPREAD.format(out=out, edges=edges, first=first, second=_HALF.format(i=2, edges=edges, from_="l1", when=f"NOT {_EARLY}"))
+
+
+_GROUPS = f"""tight AS (SELECT account_a AS a, account_b AS c, 4 * shared_within_15m + 2 * shared_within_60m + shared_retweets AS w, shared_retweets AS s, shared_within_15m + shared_within_60m AS k FROM pairs),
+    enough AS (SELECT count(*) > 0 AS y FROM tight WHERE k >= 2),
+    te AS (SELECT a, c, w FROM tight, enough WHERE CASE WHEN y THEN k >= 2 ELSE s >= 3 AND k >= 1 END),
+    tb AS (SELECT a AS n, c AS m, w FROM te WHERE w > 0 UNION ALL SELECT c, a, w FROM te WHERE w > 0 AND a <> c),
+    {_spread("lp", "tb")},
+    label1 AS (SELECT n, label FROM lp WHERE p = (SELECT max(p) FROM lp)),
+    large AS (SELECT label FROM label1 GROUP BY 1 HAVING count(*) > 18),
+    ce AS (SELECT account_a AS a, account_b AS c, 4 * shared_within_15m + 2 * shared_within_60m AS w FROM pairs JOIN label1 x ON x.n = account_a JOIN label1 y ON y.n = account_b
+      WHERE x.label = y.label AND x.label IN (SELECT label FROM large) AND (shared_within_15m >= 2 OR shared_within_60m >= 3)),
+    cb AS (SELECT a AS n, c AS m, w FROM ce WHERE w > 0 UNION ALL SELECT c, a, w FROM ce WHERE w > 0 AND a <> c),
+    {_spread("lq", "cb")},
+    label2 AS (SELECT n, label AS part, count(*) OVER (PARTITION BY label) AS size FROM lq WHERE p = (SELECT max(p) FROM lq)),
+    grp AS (SELECT n, CASE WHEN size > 1 THEN '1:' || part ELSE '0:' || label END AS community FROM label1 LEFT JOIN label2 USING (n))"""
 
 _CTES = {
     "cm": """cm AS (SELECT * FROM members WHERE snapshot_id = (SELECT max(snapshot_id) FROM members) AND screen_name IS NOT NULL
@@ -45,15 +77,31 @@ _CTES = {
     nodes AS (SELECT v AS account_handle, id AS component_id, any_value(size) AS component_size, count(DISTINCT w) AS neighbor_count, sum(shared_retweets)::BIGINT AS weighted_degree,
       sum(shared_within_15m)::BIGINT AS within_15m_weight, sum(shared_within_60m)::BIGINT AS within_60m_weight, max(struct_pack(s := shared_retweets, w := w)).w AS strongest_neighbor,
       max(shared_retweets) AS max_shared_edge FROM sides JOIN reach USING (v) JOIN ids USING (g) GROUP BY v, id)""",
-    "roles": """said AS (SELECT acc.*, cm.description AS d, cm.listed_count, cm.screen_name IS NOT NULL AS known,
+    "roles": """hasc AS (SELECT account_handle, list(cohort_id ORDER BY cohort_id) AS cids FROM incoh GROUP BY 1),
+    said AS (SELECT acc.*, hasc.cids, cm.description AS d, cm.listed_count, cm.screen_name IS NOT NULL AS known,
       CASE WHEN acc.friends_count > 0 THEN acc.followers_count / acc.friends_count WHEN acc.friends_count <= 0 AND acc.followers_count > 0 THEN 'infinity'::DOUBLE END AS ff,
-      {media} AS media, {business} AS business, {journalist} AS journalist, {public_figure} AS public_figure FROM acc LEFT JOIN cm ON cm.screen_name = acc.account_handle),
+      {media} AS media, {business} AS business, {journalist} AS journalist, {public_figure} AS public_figure FROM acc LEFT JOIN cm ON cm.screen_name = acc.account_handle LEFT JOIN hasc ON hasc.account_handle = acc.account_handle),
     roles AS (SELECT *, CASE WHEN tweet_count >= 3 AND retweet_ratio <= 0.3 AND original_count >= 3 THEN 'source_hub'
       WHEN media OR business OR coalesce(listed_count >= 50, false) OR coalesce(followers_count >= 10000 AND ff >= 25, false) THEN 'media_business'
       WHEN (journalist OR public_figure) AND (coalesce(is_blue_verified, false) OR coalesce(followers_count >= 5000, false) OR coalesce(ff >= 3, false)) THEN 'journalist_public_figure'
-      WHEN tweet_count >= 5 AND retweet_ratio >= 0.85 AND original_count <= 1 AND (top_amplified_share >= 0.5 OR first_retweeter_count >= 3) THEN 'amplifier_suspect'
+      WHEN tweet_count >= 5 AND retweet_ratio >= 0.85 AND original_count <= 1 AND (cids IS NOT NULL OR top_amplified_share >= 0.5 OR first_retweeter_count >= 3) THEN 'amplifier_suspect'
       WHEN known AND coalesce(followers_count < 5000, false) AND NOT coalesce(listed_count >= 10, false) AND NOT (retweet_ratio >= 0.9 AND original_count = 0) THEN 'retail_user'
       WHEN tweet_count >= 3 THEN 'mixed_behavior' ELSE 'unknown' END AS role_label FROM said)""",
+    "groups": _GROUPS,
+    "coh": """present AS (SELECT community, o, count(*) AS here FROM (SELECT DISTINCT o, author_handle AS n FROM b) JOIN grp USING (n) GROUP BY 1, 2),
+    gsize AS (SELECT community, count(*) AS m, list(n ORDER BY n) AS members FROM grp GROUP BY 1 HAVING count(*) >= 3),
+    picked AS (SELECT community, o, here, m, members, original_author_handle AS t, floor(greatest(trunc((epoch_us(last_retweet_at) - epoch_us(first_retweet_at)) / 1000000), 0) / greatest(retweet_count - 1, 1)) AS tight
+      FROM present JOIN gsize USING (community) JOIN casc ON original_tweet_id = o WHERE here >= greatest(2, least(ceil(ln(greatest(m, 2)) + 1), ceil(m * 0.3), 4))),
+    aim AS (SELECT community, t, count(*) AS n FROM picked GROUP BY 1, 2),
+    aims AS (SELECT community, count(*) AS targets, sum(n * n) / (sum(n) * sum(n)) AS hhi, max(n) AS tn, arg_min(t, struct_pack(n := -n, t := t)) AS tt FROM aim GROUP BY 1),
+    timed AS (SELECT community, any_value(m) AS m, any_value(members) AS members, count(*) AS cascades, floor(median(tight))::BIGINT AS tight, max(here) AS most,
+      arg_min(o, struct_pack(h := -here, o := o)) AS top FROM picked GROUP BY 1 HAVING count(*) >= 2),
+    home AS (SELECT community, list(DISTINCT component_id ORDER BY component_id) AS parts FROM grp JOIN nodes ON account_handle = n GROUP BY 1),
+    scored AS (SELECT *, round(4 * ln(1 + m) + 6 * ln(1 + cascades) + 25 * hhi + coalesce(greatest(0, 20 - least(tight, 3600) / 180), 0), 4) AS cohort_score FROM timed JOIN aims USING (community)),
+    coh AS (SELECT *, row_number() OVER (ORDER BY cohort_score DESC, m DESC, cascades DESC, members[1]) AS cohort_id FROM scored LEFT JOIN home USING (community)),
+    incoh AS (SELECT cohort_id, unnest(members) AS account_handle FROM coh),
+    byc AS (SELECT o, list(cohort_id ORDER BY cohort_id) AS ids FROM (SELECT o, cohort_id, count(*) AS n FROM (SELECT DISTINCT o, author_handle AS account_handle FROM b) JOIN incoh USING (account_handle) GROUP BY 1, 2)
+      JOIN (SELECT cohort_id, m FROM coh) USING (cohort_id) WHERE n >= greatest(2, floor(m * 0.2)) GROUP BY 1)""",
     "steps": """steps AS (SELECT o AS original_tweet_id, rn, author_handle AS account_handle, source_client,
       coalesce(trunc((epoch_us(posted_at) - epoch_us(t0)) / 1000000)::BIGINT, 0) AS elapsed FROM b)""",
 }
@@ -73,7 +121,7 @@ def _word(kind: str) -> str:
     return f"regexp_matches(coalesce(cm.description, ''), '(?:^|[^{letters[1:-1]}])(?:{'|'.join(parts)})', 'i')"
 
 
-_NEEDS = {"cm": [], "b": [], "casc": ["b"], "acc": ["cm", "casc"], "pairs": ["b"], "net": ["pairs"], "roles": ["acc"], "steps": ["b"]}
+_NEEDS = {"cm": [], "b": [], "casc": ["b"], "acc": ["cm", "casc"], "pairs": ["b"], "net": ["pairs"], "groups": ["pairs"], "coh": ["groups", "net", "casc"], "roles": ["acc", "coh"], "steps": ["b"]}
 
 
 def _with(*names: str, shared: int = MIN_SHARED) -> str:
@@ -94,7 +142,7 @@ def _with(*names: str, shared: int = MIN_SHARED) -> str:
             for k in ("media", "business", "journalist", "public_figure"):
                 text = text.replace("{" + k + "}", _word(k))
         parts.append(text)
-    return ("WITH RECURSIVE " if "net" in order else "WITH ") + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if {"net", "pairs"} & set(order) else "WITH ") + ",\n".join(parts) + "\n"
 
 
 _TOKENS = """
@@ -123,10 +171,6 @@ def _mix(key: str) -> str:
 
 _PRE = _with("casc")
 _NODES = """SELECT account_handle, component_id, component_size, neighbor_count, weighted_degree, within_15m_weight, within_60m_weight, strongest_neighbor, max_shared_edge FROM nodes"""
-_FIXED = """coh AS (SELECT component_id AS c, account_handle AS h FROM network_nodes WHERE component_id IS NOT NULL), who AS (SELECT DISTINCT o, author_handle AS h FROM b),
-    byc AS (SELECT o, list(c ORDER BY c) AS ids FROM (SELECT o, c, count(*) AS n FROM who JOIN coh USING (h) GROUP BY 1, 2)
-      JOIN (SELECT c, count(*) AS size FROM coh GROUP BY 1) USING (c) WHERE n >= greatest(2, floor(size * 0.2)) GROUP BY 1)"""
-
 ORACLE = {
     "dataset_stats": _with("cm")
     + """SELECT (SELECT count(*) FROM cm) AS member_count, count(*) AS tweet_count, count(DISTINCT author_handle) AS active_account_count, count(*) FILTER (is_retweet) AS retweet_count,
@@ -151,8 +195,8 @@ ORACLE = {
     "account_overlap": _with("pairs") + "SELECT * FROM pairs",
     "account_summary": _with("acc") + "SELECT * FROM acc",
     "coordination_score": f"SELECT account_handle, {_SCORE} AS score FROM account_summary",
-    "overlap_nodes": _with("net", shared=NETWORK_SHARED) + _NODES,
-    "overlap_components": _with("net", shared=NETWORK_SHARED)
+    "overlap_nodes": _with("net") + _NODES,
+    "overlap_components": _with("net")
     + """SELECT component_id, node_count, edge_count, CASE WHEN node_count > 1 THEN round(2 * edge_count / (node_count * (node_count - 1)), 4) ELSE 0.0 END AS density,
     total_shared_retweets, total_within_15m, total_within_60m, top_accounts
     FROM (SELECT component_id, count(*) AS node_count, array_to_string(list(account_handle ORDER BY weighted_degree DESC, neighbor_count DESC, account_handle)[1:10], '|') AS top_accounts FROM nodes GROUP BY 1)
@@ -160,13 +204,28 @@ ORACLE = {
       FROM pairs JOIN nodes ON account_handle = account_a GROUP BY 1) USING (component_id)""",
     "tight_edges": _with("pairs")
     + "SELECT account_a AS a, account_b AS b, 4 * shared_within_15m + 2 * shared_within_60m + shared_retweets AS w FROM pairs WHERE shared_within_15m + shared_within_60m >= 2",
-    "cohort_by_cascade": _with("b") + ", " + _FIXED + " SELECT o AS original_tweet_id, array_to_string(ids, '|') AS cohort_ids FROM byc",
+    "cohort_by_cascade": _with("coh") + "SELECT o AS original_tweet_id, array_to_string(ids, '|') AS cohort_ids FROM byc",
+    "cohorts": _with("coh")
+    + """SELECT cohort_id, m AS member_count, cascades AS cascade_count, tight AS median_time_tightness_sec, round(hhi, 4) AS target_concentration_hhi, tt AS top_target_author, tn AS top_target_count,
+    targets AS unique_targets, coalesce(array_to_string(parts, '|'), '') AS component_ids, array_to_string(members, '|') AS members, top AS top_cascade_tweet_id,
+    round(most / m, 4) AS top_cascade_member_share, cohort_score FROM coh""",
+    "k_core": _with("pairs")
+    + """, wb AS (SELECT account_a AS x, account_b AS y, shared_within_15m AS w FROM pairs WHERE shared_within_15m > 0
+      UNION ALL SELECT account_b, account_a, shared_within_15m FROM pairs WHERE shared_within_15m > 0 AND account_a <> account_b),
+    stays(level, turn, x, gone) AS (SELECT l, 0, x, true FROM (SELECT DISTINCT x FROM wb), range(1, 5) AS r(l)
+      UNION ALL SELECT * FROM (WITH now AS (SELECT * FROM stays WHERE level IN (SELECT level FROM stays WHERE gone)),
+        deg AS (SELECT n.level, n.x, sum(w) AS d FROM now n JOIN wb USING (x) JOIN now m ON m.level = n.level AND m.x = wb.y GROUP BY 1, 2),
+        kept AS (SELECT level, x FROM deg WHERE d >= level)
+        SELECT level, (SELECT max(turn) FROM now) + 1, x, (SELECT count(*) FROM now n WHERE n.level = k.level) > count(*) OVER (PARTITION BY level) FROM kept k)),
+    last AS (SELECT level, max(turn) AS turn, count(DISTINCT turn) AS turns FROM stays GROUP BY 1)
+    SELECT x AS account_handle, max(CASE WHEN NOT gone THEN level ELSE 0 END)::BIGINT AS core_rank FROM stays JOIN last USING (level, turn) GROUP BY 1
+    UNION ALL SELECT x, 0 FROM (SELECT DISTINCT x FROM wb) WHERE x NOT IN (SELECT x FROM stays JOIN last USING (level, turn))""",
     "account_roles": _with("roles")
     + """SELECT account_handle, role_label, round(CASE role_label WHEN 'source_hub' THEN 0.9
       WHEN 'media_business' THEN least(0.99, 0.5 + CASE WHEN media OR business THEN 0.2 ELSE 0 END + CASE WHEN listed_count >= 100 THEN 0.15 ELSE 0 END + CASE WHEN followers_count >= 250000 THEN 0.15 ELSE 0 END)
       WHEN 'journalist_public_figure' THEN least(0.99, 0.75 + CASE WHEN is_blue_verified THEN 0.2 ELSE 0 END)
       WHEN 'amplifier_suspect' THEN least(0.99, 0.55 + CASE WHEN retweet_ratio >= 0.95 THEN 0.1 ELSE 0 END + CASE WHEN original_count = 0 THEN 0.1 ELSE 0 END
-        + CASE WHEN top_amplified_share >= 0.5 THEN 0.1 ELSE 0 END + CASE WHEN first_retweeter_count >= 3 THEN 0.05 ELSE 0 END)
+        + CASE WHEN top_amplified_share >= 0.5 THEN 0.1 ELSE 0 END + CASE WHEN cids IS NOT NULL THEN 0.1 ELSE 0 END + CASE WHEN first_retweeter_count >= 3 THEN 0.05 ELSE 0 END)
       WHEN 'retail_user' THEN 0.6 WHEN 'mixed_behavior' THEN 0.4 ELSE 0.2 END::DOUBLE, 4) AS role_confidence, in_member_list AS is_member,
     concat_ws('|', CASE WHEN media THEN 'description_media_keyword' END, CASE WHEN business THEN 'description_business_keyword' END, CASE WHEN journalist THEN 'description_journalist_keyword' END,
       CASE WHEN public_figure THEN 'description_public_figure_keyword' END, CASE WHEN listed_count >= 50 THEN 'listed_count>=50(' || listed_count || ')' END,
@@ -176,11 +235,12 @@ ORACLE = {
       CASE WHEN retweet_ratio >= 0.85 AND tweet_count >= 5 THEN 'retweet_ratio>=0.85(' || printf('%.2f', round(retweet_ratio, 2)) || ')' END,
       CASE WHEN original_count <= 1 AND tweet_count >= 5 THEN 'zero_or_single_original' END,
       CASE WHEN first_retweeter_count >= 3 THEN 'first_retweeter_count>=3(' || first_retweeter_count || ')' END,
-      CASE WHEN top_amplified_share >= 0.6 AND retweet_count >= 5 THEN 'top_amplified_share>=0.6(' || printf('%.2f', round(top_amplified_share, 2)) || ')' END) AS signals,
+      CASE WHEN top_amplified_share >= 0.6 AND retweet_count >= 5 THEN 'top_amplified_share>=0.6(' || printf('%.2f', round(top_amplified_share, 2)) || ')' END,
+      CASE WHEN cids IS NOT NULL THEN 'cohort_member(' || len(cids) || ')' END) AS signals,
     followers_count, friends_count, round(ff, 4) AS followers_friends_ratio, listed_count, profile_description_language AS description_language,
     length(trim(coalesce(d, ''))) AS description_length, is_blue_verified, default_profile,
-    CASE WHEN account_created_at IS NOT NULL THEN greatest(floor((epoch_us((SELECT max(posted_at) FROM tweets)) - epoch_us(account_created_at)) / 86400000000), 0)::BIGINT END AS account_age_days, retweet_ratio, original_count, '' AS cohort_ids FROM roles""",
-    "target_summary": _with("net", "roles", shared=NETWORK_SHARED)
+    CASE WHEN account_created_at IS NOT NULL THEN greatest(floor((epoch_us((SELECT max(posted_at) FROM tweets)) - epoch_us(account_created_at)) / 86400000000), 0)::BIGINT END AS account_age_days, retweet_ratio, original_count, coalesce(array_to_string(cids, '|'), '') AS cohort_ids FROM roles""",
+    "target_summary": _with("net", "roles")
     + """, x AS (SELECT content_author_handle AS t, author_handle AS account_handle, count(*) AS n, min(row_id) AS seen, count(DISTINCT o) AS p FROM b WHERE content_author_handle <> '' GROUP BY 1, 2),
     cnt AS (SELECT * FROM x),
     tot AS (SELECT t, sum(n)::BIGINT AS total, count(*) AS accounts, sum(n * n) / (sum(n) * sum(n)) AS hhi, arg_max(account_handle, struct_pack(n := n, s := -seen)) AS top, max(n) AS topn FROM x GROUP BY 1),
@@ -201,9 +261,7 @@ ORACLE = {
     led.h AS top_first_retweeter_handle, coalesce(led.n, 0) AS top_first_retweeter_count, mix AS captured_role_mix,
     round(8 * ln(1 + total) + 25 * hhi + 20 * coalesce(j, 0) + 4 * ln(1 + coalesce(w15, 0)) - CASE WHEN coalesce(parts, 0) >= 1 THEN 5 * least(parts / accounts, 1) ELSE 0 END, 4) AS amplification_score
     FROM tot JOIN posts USING (t) JOIN mix USING (t) LEFT JOIN reach2 USING (t) LEFT JOIN lags USING (t) LEFT JOIN led USING (t) LEFT JOIN crew USING (t)""",
-    "propagation": _with("net", "roles", "steps", shared=NETWORK_SHARED)
-    + ", "
-    + _FIXED
+    "propagation": _with("net", "roles", "steps")
     + """, cnt AS (SELECT original_tweet_id, account_handle, count(*) AS n, min(rn) AS seen FROM steps GROUP BY 1, 2), """
     + _mix("original_tweet_id")
     + """, win AS (SELECT *, count(*) OVER (PARTITION BY original_tweet_id ORDER BY elapsed RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS w FROM steps),
@@ -222,16 +280,17 @@ ORACLE = {
       + 6 * ln(1 + coalesce(len(byc.ids), 0)), 4) AS propagation_score, p AS spread_path_preview
     FROM casc c JOIN burst USING (original_tweet_id) JOIN mix USING (original_tweet_id) JOIN pre USING (original_tweet_id) JOIN lead ON lead.first_retweeter = c.first_retweeter
     LEFT JOIN cl USING (original_tweet_id) LEFT JOIN parts USING (original_tweet_id) LEFT JOIN byc ON byc.o = c.original_tweet_id""",
-    "spread_path": _with("net", "casc", "steps", shared=NETWORK_SHARED)
+    "spread_path": _with("coh", "steps")
     + """SELECT original_tweet_id, original_author_handle, first_retweet_at, steps FROM casc JOIN (SELECT original_tweet_id,
-    string_agg(s.account_handle || ',' || elapsed || ',' || coalesce(component_id, 0), '|' ORDER BY rn) AS steps FROM steps s LEFT JOIN nodes USING (account_handle) GROUP BY 1) USING (original_tweet_id)""",
-    "first_profiles": _with("net", "roles", shared=NETWORK_SHARED)
+    string_agg(s.account_handle || ',' || elapsed || ',' || coalesce(component_id, 0) || ',' || coalesce(byc.ids[1], 0), '|' ORDER BY rn) AS steps
+      FROM steps s LEFT JOIN nodes USING (account_handle) LEFT JOIN byc ON byc.o = s.original_tweet_id GROUP BY 1) USING (original_tweet_id)""",
+    "first_profiles": _with("net", "roles")
     + """, x AS (SELECT first_retweeter AS account_handle, original_author_handle AS t, count(*) AS n FROM casc GROUP BY 1, 2),
     y AS (SELECT account_handle, count(*) AS u, arg_min(t, struct_pack(n := -n, t := t)) AS top, max(n) AS topn, sum(n * n) / (sum(n) * sum(n)) AS hhi FROM x GROUP BY 1),
     z AS (SELECT first_retweeter AS account_handle, count(*) AS n, floor(median(CASE WHEN retweet_count >= 2 THEN floor(trunc((epoch_us(last_retweet_at) - epoch_us(first_retweet_at)) / 1000000) / (retweet_count - 1)) END))::BIGINT AS lag FROM casc GROUP BY 1)
     SELECT account_handle, z.n AS first_retweeter_count, u AS unique_targets_first, top AS top_target_author, topn AS top_target_count, round(hhi, 4) AS target_hhi, lag AS median_lag_to_second_retweet_sec,
-    coalesce(role_label, 'unknown') AS role_label, '' AS cohort_ids, component_id FROM y JOIN z USING (account_handle) LEFT JOIN roles USING (account_handle) LEFT JOIN nodes USING (account_handle)""",
-    "feature_matrix": _with("net", "roles", shared=NETWORK_SHARED)
+    coalesce(role_label, 'unknown') AS role_label, coalesce(array_to_string(cids, '|'), '') AS cohort_ids, component_id FROM y JOIN z USING (account_handle) LEFT JOIN roles USING (account_handle) LEFT JOIN nodes USING (account_handle)""",
+    "feature_matrix": _with("net", "roles")
     + """, lead AS (SELECT first_retweeter AS account_handle, count(*) AS leads FROM casc GROUP BY 1)
     SELECT account_handle, tweet_count, retweet_count, original_count, quote_count, retweet_ratio, first_retweeter_count, unique_retweeted_tweet_count, unique_retweeted_author_count, retweets_to_member_count,
     retweets_to_member_ratio, top_amplified_count, top_amplified_share, hashtag_count, mention_count, followers_count, friends_count, statuses_count,
@@ -239,12 +298,13 @@ ORACLE = {
     default_profile::BIGINT AS default_profile, default_profile_image::BIGINT AS default_profile_image, is_blue_verified::BIGINT AS is_blue_verified,
     coalesce(component_size, 0) AS network_component_size, coalesce(neighbor_count, 0) AS network_neighbor_count, coalesce(weighted_degree, 0) AS network_weighted_degree,
     coalesce(within_15m_weight, 0) AS network_within_15m_weight, coalesce(within_60m_weight, 0) AS network_within_60m_weight, coalesce(max_shared_edge, 0) AS network_max_shared_edge,
-    0::BIGINT AS cohort_count, 0::BIGINT AS cohort_max_size, 0::BIGINT AS cohort_max_cascade_count, (role_label = 'retail_user')::BIGINT AS role_retail_user, (role_label = 'amplifier_suspect')::BIGINT AS role_amplifier_suspect,
+    coalesce(cn, 0) AS cohort_count, coalesce(cm1, 0) AS cohort_max_size, coalesce(cm2, 0) AS cohort_max_cascade_count, (role_label = 'retail_user')::BIGINT AS role_retail_user, (role_label = 'amplifier_suspect')::BIGINT AS role_amplifier_suspect,
     (role_label = 'media_business')::BIGINT AS role_media_business, (role_label = 'journalist_public_figure')::BIGINT AS role_journalist_public_figure, (role_label = 'source_hub')::BIGINT AS role_source_hub,
     round(first_retweeter_count / (SELECT count(*) FROM casc), 4) AS first_retweeter_ratio, coalesce(leads, 0) AS propagation_lead_count, coordination_score, '' AS analyst_label
-    FROM roles LEFT JOIN nodes USING (account_handle) LEFT JOIN lead USING (account_handle)""",
+    FROM roles LEFT JOIN nodes USING (account_handle) LEFT JOIN lead USING (account_handle)
+    LEFT JOIN (SELECT account_handle, count(*) AS cn, max(m) AS cm1, max(cascades) AS cm2 FROM incoh JOIN coh USING (cohort_id) GROUP BY 1) USING (account_handle)""",
     "client_label": """SELECT raw_id, CASE WHEN s = '' THEN NULL ELSE coalesce(nullif(trim(regexp_extract(s, '>([^<]+)<', 1)), ''), s) END AS client
-    FROM (SELECT raw_id, json_extract_string(payload, '$.source') AS s FROM raw_posts WHERE json_valid(payload) AND json_extract_string(payload, '$.rest_id') IS NOT NULL)""",
+    FROM (SELECT raw_id, json_extract_string(payload, '$.source') AS s FROM raw_posts WHERE json_valid(payload))""",
     "handle_from_url": """SELECT DISTINCT screen_name, given, screen_name AS handle FROM (SELECT screen_name, unnest(['https://social.example/' || screen_name || '/status/1', ' @' || screen_name, screen_name || '/']) AS given FROM members)""",
     "members_placeholder": _with("cm")
     + """SELECT screen_name, member_id, followers_count, is_blue_verified FROM cm
@@ -274,7 +334,7 @@ ORACLE |= {
     + ", cnt AS (SELECT content_author_handle AS target, author_handle AS account_handle, count(*) AS n, min(row_id) AS seen FROM tweets WHERE is_retweet GROUP BY 1, 2), "
     + _mix("target")
     + " SELECT target, mix AS role_mix FROM mix",
-    "burst_windows": """SELECT time_bucket(INTERVAL 15 MINUTE, posted_at) AS window_start, time_bucket(INTERVAL 15 MINUTE, posted_at) + INTERVAL 15 MINUTE AS window_end, content_tweet_id, count(*) AS amplifications
+    "burst_windows": """SELECT time_bucket(INTERVAL 15 MINUTE, posted_at) AS window_start, time_bucket(INTERVAL 15 MINUTE, posted_at) + INTERVAL 15 MINUTE AS window_end, content_tweet_id, count(*) AS amplifications, count(DISTINCT author_handle) AS accounts
       FROM tweets WHERE is_retweet AND posted_at IS NOT NULL GROUP BY 1, 2, 3""",
 }
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tidewake", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def table_stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of change of a table's files, to see whether it changed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 class Stage:
     """Cuts lineage by writing tables into the shared folder and reading them back.
 
@@ -63,13 +71,23 @@ class Stage:
         self.paths[id(out)] = path
         return out
 
+    def cut_counting(self, df: DataFrame, flag: str) -> tuple[DataFrame, int]:
+        """``cut``, with the number of rows whose ``flag`` is true, counted by the same job."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count_if(flag).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, *frames: DataFrame | None) -> None:
         for frame in frames:
             path = self.paths.pop(id(frame), None)
             if path:
                 self._files(path, lambda fs, where: fs.delete(where, True))
 
-    def _files(self, path: str, do) -> None:
+    def there(self) -> bool:
+        """Whether the written tables that weren't dropped still exist."""
+        return all(self._files(path, lambda fs, where: fs.exists(where)) for path in self.paths.values())
+
+    def _files(self, path: str, do):
         context = self.spark.sparkContext
         where = context._jvm.org.apache.hadoop.fs.Path(path)
-        do(where.getFileSystem(context._jsc.hadoopConfiguration()), where)
+        return do(where.getFileSystem(context._jsc.hadoopConfiguration()), where)

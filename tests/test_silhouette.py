@@ -33,23 +33,34 @@ def test_silhouette_over_blocks_against_brute_force(spark, monkeypatch):
 
 
 def test_choice_scores_every_row_and_takes_twenty_starts(spark, monkeypatch):
-    seen = []
+    df = spark.createDataFrame([("a%04d" % i, Vectors.dense([float(i % 2)] * len(ml.FEATURES))) for i in range(6000)], ["account_handle", "features"])
+    counted, runs = [], []
+    whole, summed = ml.silhouettes, ml._partial_sums
+    monkeypatch.setattr(ml, "silhouettes", lambda vectors, n, models: counted.append((vectors.count(), n)) or whole(vectors, n, models))
+    monkeypatch.setattr(ml, "_partial_sums", lambda rows, models, width: runs.append([len(m) for m in models]) or summed(rows, models, width))
+    k, how, centres = ml.choose_clusters(df, 6000, None, 42)
+    assert (k, how) == (2, "silhouette") and sorted(c[0] for c in centres.tolist()) == [0.0, 1.0]
+    assert counted == [(6000, 6000)] and runs[0].count(2) == 20
 
-    class Fit:
-        def __init__(self, k, seed):
-            self.k, self.seed = k, seed
 
-        def fit(self, vectors):
-            seen.append((self.k, self.seed))
-            model = type("M", (), {})()
-            model.summary = type("S", (), {"trainingCost": float(self.seed)})()
-            model.clusterCenters = lambda: np.array([np.full(len(ml.FEATURES), float(j)) for j in range(self.k)])
-            return model
+def lloyd(x, centres):
+    for _ in range(300):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        now = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if np.allclose(now, centres):
+            break
+        centres = now
+    return ((x - centres[near]) ** 2).sum()
 
-    monkeypatch.setattr(ml, "KMeans", Fit)
-    df = spark.createDataFrame([("a%04d" % i, Vectors.dense([float(i % 2)] * len(ml.FEATURES))) for i in range(6000)], ["account_handle", "features"])
-    counted = []
-    whole = ml.silhouettes
-    monkeypatch.setattr(ml, "silhouettes", lambda vectors, n, models: counted.append((vectors.count(), n)) or whole(vectors, n, models))
-    assert ml.choose_clusters(df, 6000, None, 42) == (2, "silhouette")
-    assert counted == [(6000, 6000)] and len(seen) == 20
+
+def test_k_means_is_as_good_as_many_plain_runs(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(m, 1, (80, len(ml.FEATURES))) for m in (0, 1.5, 3, 6, 8)])
+    df = spark.createDataFrame([("a%03d" % i, Vectors.dense(v)) for i, v in enumerate(x)], ["account_handle", "features"])
+    models = ml.k_means(df, [1, 3, 5], 7)
+    for k, centres in models.items():
+        got = ((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+        best = min(lloyd(x, x[rng.choice(len(x), k, replace=False)]) for _ in range(40))
+        assert got <= best * 1.01, (k, got, best)
+    again = ml.k_means(df, [5], 7)[5]
+    assert np.allclose(again, models[5], atol=1e-6)

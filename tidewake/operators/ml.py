@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -31,8 +30,11 @@ PLAIN = (
 )
 #: Rows in a block when distances of all rows to all rows are taken.
 BLOCK_ROWS = 1024
-#: k-means runs of which the best counts.
+#: Tasks over which the groups of two blocks are spread, at most.
+MOST_TASKS = 2000
+#: k-means runs of which the best counts, and the passes a run may take.
 STARTS = 20
+K_MEANS_ROUNDS = 300
 #: An isolation tree's sample.
 TREES, TREE_ROWS = 100, 256
 
@@ -61,8 +63,9 @@ def silhouettes(vectors: DataFrame, n: int, models: dict[int, np.ndarray]) -> di
     """Mean Euclidean silhouette of all ``n`` rows for each model's centres; a cluster of
     one counts 0, a single cluster in all is -1.
 
-    Blocks of rows meet all blocks, for all models at once; a row's sums of distances
-    to each cluster are added up afterwards.
+    Rows are cut into blocks; a group per two blocks takes their distances once, for all
+    models and both sides; a row's sums of distances to each cluster are added up
+    afterwards. The work grows with the square of ``n``, as the measure asks for it.
     """
     width = len(FEATURES)
     ks = sorted(models)
@@ -71,19 +74,24 @@ def silhouettes(vectors: DataFrame, n: int, models: dict[int, np.ndarray]) -> di
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, width)
+            x = _rows(batch.column(1), width)
             found = np.stack([nearest(x, k) for k in ks], 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist()), pa.array(found.tolist(), pa.list_(pa.int64()))], ["row", "x", "labels"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                x, y, labels = np.array(r["x"]).reshape(-1, width), np.array(r["y"]).reshape(-1, width), np.array(r["labels"]).reshape(-1, len(ks))
+                x, y = np.array(r["x"]).reshape(-1, width), np.array(r["y"]).reshape(-1, width)
                 d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                if r["a"] == r["b"]:
+                sides = [(r["rows"], d, r["ylabels"])]
+                if r["i"] == r["j"]:
                     np.fill_diagonal(d, 0)
-                out = [pa.array((d @ (labels[:, i, None] == np.arange(len(models[k]))[None])).tolist(), pa.list_(pa.float64())) for i, k in enumerate(ks)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["rows"]), *out], ["row", *[f"s{k}" for k in ks]])
+                else:
+                    sides.append((r["yrows"], d.T, r["labels"]))
+                for rows, far, labels in sides:
+                    to = np.array(labels).reshape(-1, len(ks))
+                    out = [pa.array((far @ (to[:, i, None] == np.arange(len(models[k]))[None])).tolist(), pa.list_(pa.float64())) for i, k in enumerate(ks)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), *out], ["row", *[f"s{k}" for k in ks]])
 
     stage = Stage(vectors.sparkSession)
     numbers = numbered(vectors.select("account_handle", vector_to_array("features").alias("x")), [F.col("account_handle")], "row")
@@ -91,13 +99,16 @@ def silhouettes(vectors: DataFrame, n: int, models: dict[int, np.ndarray]) -> di
     sizes = {k: [0] * len(models[k]) for k in ks}
     for r in rows.select(F.posexplode("labels").alias("i", "c")).groupBy("i", "c").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[ks[r["i"]]][r["c"]] = r["n"]
-    gather = F.array_sort(F.collect_list(F.struct("row", "x", "labels")))
+    gather = F.array_sort(F.collect_list(F.struct("row", "x", "labels")))  # BLOCK_ROWS rows
     flat = lambda field: F.flatten(F.transform("g", lambda g: g[field]))
-    groups = rows.groupBy(F.floor(F.col("row") / BLOCK_ROWS).alias("b")).agg(gather.alias("g"))
+    groups = rows.groupBy(F.floor(F.col("row") / BLOCK_ROWS).cast("int").alias("b")).agg(gather.alias("g"))
     blocks = stage.cut(groups.select("b", F.transform("g", lambda g: g["row"]).alias("rows"), flat("x").alias("x"), flat("labels").alias("labels")))
-    left, right = blocks.select(F.col("b").alias("a"), "rows", "x"), blocks.select("b", F.col("x").alias("y"), "labels")
-    pairs = math.ceil(n / BLOCK_ROWS) ** 2
-    met = left.crossJoin(right).repartition(min(pairs, 2000), "a", "b") if pairs > 1 else left.crossJoin(right)
+    last = n // BLOCK_ROWS
+    left = blocks.select(F.col("b").alias("i"), F.explode(F.sequence("b", F.lit(last))).alias("j"), "rows", "x", "labels")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), F.col("rows").alias("yrows"), F.col("x").alias("y"), F.col("labels").alias("ylabels"))
+    groups_of_two = (last + 1) * (last + 2) // 2
+    spread = min(groups_of_two, MOST_TASKS)
+    met = left.repartition(spread, "i", "j").join(right.repartition(spread, "i", "j"), ["i", "j"])
     parts = met.mapInArrow(meet, sums)
     total = parts.groupBy("row").agg(*[F.array(*[F.sum(F.col(f"s{k}")[c]) for c in range(len(models[k]))]).alias(f"s{k}") for k in ks]).join(rows.select("row", "labels"), "row")
     each = []
@@ -118,32 +129,139 @@ def _different(vectors: DataFrame, most: int) -> int:
     return vectors.select(vector_to_array("features").alias("x")).distinct().limit(most).count()
 
 
-def choose_clusters(vectors: DataFrame, n: int, requested: int | None, seed: int) -> tuple[int, str]:
-    """(k, how): the requested number within 1..n, else the best silhouette of 2..8 (the
-    smaller on a tie) over all rows."""
+def choose_clusters(vectors: DataFrame, n: int, requested: int | None, seed: int) -> tuple[int, str, np.ndarray]:
+    """(k, how, centres): the requested number within 1..n, else the best silhouette of 2..8
+    (the smaller on a tie) over all rows."""
     if n < 4:
-        return 1, "fallback_small_sample"
+        return 1, "fallback_small_sample", fit_clusters(vectors, 1, seed)
     if requested:
-        return max(1, min(requested, n, _different(vectors, requested))), "requested"
+        k = max(1, min(requested, n, _different(vectors, requested)))
+        return k, "requested", fit_clusters(vectors, k, seed)
     most = min(8, n - 1, _different(vectors, 8))
-    if most < 2:
-        return 1, "fallback_single_cluster"
-    scores = silhouettes(vectors, n, {k: fit_clusters(vectors, k, seed) for k in range(2, most + 1)})
+    models = k_means(vectors, list(range(1, most + 1)), seed)
+    scores = silhouettes(vectors, n, {k: c for k, c in models.items() if k > 1}) if most > 1 else {}
     best = (-1.0, 1)
     for k, score in scores.items():
         if score > best[0] + 1e-12:
             best = (score, k)
-    return (best[1], "silhouette") if best[1] > 1 else (1, "fallback_single_cluster")
+    return best[1], "silhouette" if best[1] > 1 else "fallback_single_cluster", models[best[1]]
 
 
 def fit_clusters(vectors: DataFrame, k: int, seed: int, starts: int = STARTS) -> np.ndarray:
     """Centres of the best of several k-means runs."""
-    if k == 1:
-        zipped = vectors.select(F.posexplode(vector_to_array("features")).alias("i", "v"))
-        rows = zipped.groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()
-        return np.array([[r["m"] for r in rows]])
-    models = [KMeans(k=k, seed=seed + i).fit(vectors) for i in range(starts)]
-    return np.array(min(models, key=lambda m: m.summary.trainingCost).clusterCenters())
+    return k_means(vectors, [k], seed, starts)[k]
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit ids and a salt."""
+    with np.errstate(over="ignore"):
+        z = ids.view(np.uint64) + np.uint64(salt & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def k_means(vectors: DataFrame, ks: list[int], seed: int, starts: int = STARTS, rounds: int = K_MEANS_ROUNDS, tolerance: float = 1e-4) -> dict[int, np.ndarray]:
+    """Centres by number of clusters: of ``starts`` k-means++ runs the one of least cost.
+
+    All runs of all numbers share every pass over the rows. A pass of seeding draws one
+    row for every start, with a chance that grows with the squared distance to the
+    centres it has (the least of exponential races, so tasks reduce to one row
+    each); the first k centres of a start seed its run with k clusters. A pass of
+    fitting adds up, per run and centre, the rows nearest to it. A run stands still when its
+    centres move by less than ``tolerance`` times the mean variance.
+    """
+    width = len(FEATURES)
+    stage = Stage(vectors.sparkSession)
+    rows = stage.cut(vectors.select(F.xxhash64("account_handle").alias("id"), vector_to_array("features").alias("x")))
+    chosen = np.zeros((starts, 0, width))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), _rows(batch.column(1), width)
+            for s in range(starts):
+                race = -np.log(_uniform(ids, seed * 1_000_003 + s * 1009 + chosen.shape[1]))
+                if chosen.shape[1]:
+                    race = race / np.maximum(_squared(x, chosen[s]).min(1), 1e-12)
+                at = int(np.lexsort((ids, race))[0]) if len(race) else -1
+                if at >= 0 and (s not in best or (race[at], ids[at]) < best[s][:2]):
+                    best[s] = (float(race[at]), int(ids[at]), x[at].tolist())
+        found = sorted(best.items())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _ in found], pa.int32()), pa.array([b[0] for _, b in found], pa.float64()), pa.array([b[1] for _, b in found], pa.int64()),
+             pa.array([b[2] for _, b in found], pa.list_(pa.float64()))],
+            ["start", "race", "id", "x"],
+        )
+
+    for _ in range(max(ks)):
+        drawn = rows.mapInArrow(draw, "start int, race double, id bigint, x array<double>").groupBy("start").agg(F.min(F.struct("race", "id", "x")).alias("b")).collect()
+        step = np.array([r["b"]["x"] for r in sorted(drawn, key=lambda r: r["start"])])
+        chosen = np.concatenate([chosen, step[:, None, :]], 1)
+    centres = {(k, s): chosen[s, :k].copy() for k in ks for s in range(starts if k > 1 else 1)}
+    spread = float(np.mean(list(rows.agg(*[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(width)]).first())))
+    cost: dict[tuple[int, int], float] = {}
+    live = sorted(centres)
+    for _ in range(rounds):
+        found = _partial_sums(rows, [centres[m] for m in live], width)
+        moving = []
+        for i, m in enumerate(live):
+            now = centres[m].copy()
+            cost[m] = 0.0
+            for c in range(len(now)):
+                count, lost, total = found.get((i, c), (0, 0.0, None))
+                cost[m] += lost
+                if count:
+                    now[c] = total / count
+            if ((now - centres[m]) ** 2).sum() > tolerance * spread:
+                moving.append(m)
+            centres[m] = now
+        live = moving
+        if not live:
+            break
+    stage.drop(rows)
+    return {k: centres[min((m for m in centres if m[0] == k), key=lambda m: (cost[m], m))] for k in ks}
+
+
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
+
+
+def _partial_sums(rows: DataFrame, models: list[np.ndarray], width: int) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
+    """(model, centre) -> (rows, squared distance, sum of the rows) of the rows nearest to it."""
+    flat = np.concatenate(models)
+    ends = np.cumsum([len(m) for m in models])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, lost, total = np.zeros(len(flat)), np.zeros(len(flat)), np.zeros((len(flat), width))
+        for batch in batches:
+            x = _rows(batch.column(1), width)
+            d = _squared(x, flat)
+            near = np.zeros(d.shape, bool)
+            at = np.arange(len(x))
+            for i, end in enumerate(ends):
+                near[at, end - len(models[i]) + d[:, end - len(models[i]) : end].argmin(1)] = True
+            count += near.sum(0)
+            lost += np.where(near, d, 0).sum(0)
+            total += near.T.astype(float) @ x
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array(count[used].astype(np.int64)), pa.array(lost[used]), *[pa.array(total[used, f].copy()) for f in range(width)]],
+            ["c", "n", "lost", *[f"f{f}" for f in range(width)]],
+        )
+
+    fields = ["n bigint", "lost double", *[f"f{f} double" for f in range(width)]]
+    summed = rows.mapInArrow(add, "c int, " + ", ".join(fields)).groupBy("c").agg(*[F.sum(f.split()[0]).alias(f.split()[0]) for f in fields])
+    out = {}
+    for r in summed.collect():  # one row per model and centre
+        i = int(np.searchsorted(ends, r["c"], "right"))
+        out[(i, r["c"] - int(ends[i]) + len(models[i]))] = (r["n"], r["lost"], np.array(r[3:]))
+    return out
 
 
 def isolation_trees(x: np.ndarray, seed: int, trees: int = TREES, rows: int = TREE_ROWS) -> tuple[list, int]:
@@ -209,10 +327,8 @@ def run_model(matrix: DataFrame, clusters: int | None = None, seed: int = 42) ->
         run = [("skipped_no_samples", 0, len(FEATURES), 0, "none", "none", "none", "none", list(FEATURES), None)]
         scored = spark.createDataFrame([], accounts_schema)
         return spark.createDataFrame(run, run_schema), _accounts(scored, matrix), _summaries(_accounts(scored, matrix))
-    scaled = standardised(model_features(matrix)).persist()
-    vectors = _vectors(scaled).persist()
-    k, how = choose_clusters(vectors, n, clusters, seed)
-    centres = fit_clusters(vectors, k, seed)
+    vectors = Stage(spark).cut(_vectors(standardised(model_features(matrix))))
+    k, how, centres = choose_clusters(vectors, n, clusters, seed)
     forest = None
     if n >= 4:
         sample = vectors.orderBy(F.xxhash64("account_handle", F.lit(seed + 1))).limit(TREES * TREE_ROWS).collect()

@@ -16,10 +16,10 @@ MIN_SHARED = 2
 _BUILT: dict[tuple, tuple] = {}
 
 
-def _once(spark: SparkSession, sf: str, name: str, build) -> tuple:
-    """What ``build(stage)`` gives, kept while the post table and the written tables are there unchanged."""
+def _once(spark: SparkSession, sf: str, name: str, build, table: str = "tweets") -> tuple:
+    """What ``build(stage)`` gives, kept while the input ``table`` and the written tables are there unchanged."""
     key = (id(spark), spark.sparkContext.applicationId, sf, name)
-    stamp = table_stamp(spark, f"{sf}/tweets.parquet")
+    stamp = table_stamp(spark, f"{sf}/{table}.parquet")
     known = _BUILT.get(key)
     if known is None or known[0] != stamp or known[1] is not spark or not known[2].there():
         stage = Stage(spark)
@@ -292,8 +292,15 @@ def ml_scaled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = spark.read.parquet(f"{sf}/ml_feature_matrix.parquet").dropDuplicates(["account_handle"])
-    return ml.run_model(rows)
+    """(run record, accounts, clusters); of an account's rows that differ the largest counts."""
+
+    def build(stage: Stage) -> tuple:
+        table = spark.read.parquet(f"{sf}/ml_feature_matrix.parquet")
+        others = [c for c in table.columns if c != "account_handle"]
+        rows = table.groupBy("account_handle").agg(F.max(F.struct(*others)).alias("r")).select("account_handle", "r.*")
+        return tuple(map(stage.cut, ml.run_model(rows)))
+
+    return _once(spark, sf, "model", build, "ml_feature_matrix")
 
 
 def ml_run(spark: SparkSession, sf: str) -> DataFrame:

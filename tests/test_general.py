@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewake.operators.asof import latest_not_newer
-from tidewake.operators.entity_features import cumulative_store, widen, window_features
+from tidewake.operators.entity_features import by_entity, cumulative_store, widen, window_features, write_store
 from tidewake.operators.nested import BadJson, flat_tables, parse_triples, posts_of, shred_posts
 from tidewake.operators.ranking import numbered
 from tidewake.operators.snapshot_diff import _Merge, snapshot_changes
@@ -188,3 +188,26 @@ def test_numbered(spark):
     assert [r["n"] for r in got] == list(range(1, 5001))
     assert [(r["x"], r["id"]) for r in got] == sorted(((r["x"], r["id"]) for r in got), key=lambda p: (-p[0], p[1]))
     assert numbered(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_entity_features_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    day = dt.datetime(2026, 1, 1)
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice(["x", "y", "z"]), day + dt.timedelta(days=rng.randrange(40), hours=rng.randrange(24)) if rng.random() < 0.9 else None, rng.choice([None, 1, 5]))
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame(rows, "e string, k string, t timestamp, v int").repartition(3)
+    store = write_store(cumulative_store(df, "e", "k", "t", "v"), str(tmp_path / "store"))
+    for end in (dt.date(2026, 1, 20), dt.date(2026, 2, 20)):
+        got = {(r["entity"], r["kind"]): r for r in window_features(store, end, {"7d": 7, "28d": 28}).collect()}
+        want = {}
+        for e, k in {(r[0], r[1]) for r in rows}:
+            mine = [r for r in rows if r[:2] == (e, k) and (r[2] is None or r[2].date() <= end)]
+            last = max((r[2] for r in mine if r[2]), default=None)
+            inside = {n: [r for r in mine if r[2] and (end - r[2].date()).days < n] for n in (7, 28)}
+            if mine:
+                want[e, k] = (len(mine), sum(r[3] or 0 for r in mine), last, (end - last.date()).days if last else None, *[f(x) for x in inside.values() for f in (len, lambda x: sum(r[3] or 0 for r in x))])
+        assert {k: (r["count"], r["total"], r["last_at"], r["recency_days"], r["count_7d"], r["total_7d"], r["count_28d"], r["total_28d"]) for k, r in got.items()} == want
+    listed = {r["entity"]: [t["kind"] for t in r["types"]] for r in by_entity(window_features(store, end, {"7d": 7}), {"7d": 7}).collect()}
+    assert listed == {e: ["x", "y", "z"] for e in ("a", "b", None)}

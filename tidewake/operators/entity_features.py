@@ -1,8 +1,9 @@
 """One feature row per entity from an event stream, by cumulative daily totals.
 
 ``cumulative_store`` keeps, per (entity, type, day), the running count and total up
-to that day and the latest time; ``window_features`` subtracts the as-of values at
-a window's two endpoints, so any number of windows costs one aggregation.
+to that day and the latest time; ``write_store`` puts it into files by range of
+entity. ``window_features`` reads the as-of values at a window's two endpoints and
+subtracts them, so any day can be asked for and any number of windows costs one pass.
 """
 
 from __future__ import annotations
@@ -36,30 +37,59 @@ def cumulative_store(events: DataFrame, entity: str, kind: str, time: str, value
         .groupBy("entity", "kind", "day")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), F.max("at").alias("last_at"))
     )
-    # one placement by entity serves the running sums, the windows and the wide table
+    # one placement by entity serves the running sums and the rows made of them
     daily = daily.repartition("entity")
     run = Window.partitionBy("entity", "kind").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select("entity", "kind", "day", F.sum("n").over(run).alias("cum_count"), F.sum("v").over(run).alias("cum_total"), "last_at")
+    cells = [F.sum("n").over(run).alias("cum_count"), F.sum("v").over(run).alias("cum_total"), F.max("last_at").over(run).alias("last_at")]
+    return daily.select("entity", "kind", "day", *cells)
 
 
-def _as_of(column: str, day: Column) -> Column:
-    """The running value at the last day not after ``day``; 0 before the first."""
-    return F.coalesce(F.max_by(F.when(F.col("day") <= day, F.col(column)), F.when(F.col("day") <= day, F.col("day"))), F.lit(0))
+def write_store(store: DataFrame, path: str) -> DataFrame:
+    """The store as files that each hold a range of entities in order, read back; a reader
+    that asks for some entities or days opens few row groups."""
+    store.repartitionByRange("entity", "kind").sortWithinPartitions("entity", "kind", "day").write.mode("overwrite").parquet(path)
+    return store.sparkSession.read.schema(store.schema).parquet(path)
+
+
+def _as_of(day: Column) -> Column:
+    """The running values at the last day not after ``day``; null before the first."""
+    return F.max(F.when(F.col("day") <= day, F.struct("day", "cum_count", "cum_total", "last_at")))
+
+
+def measures(windows: dict[str, int]) -> list[str]:
+    """Names of the additive figures of ``window_features``."""
+    return ["count", "total", *[f"{m}_{w}" for w in windows for m in ("count", "total")]]
 
 
 def window_features(store: DataFrame, as_of: dt.date | None, windows: dict[str, int]) -> DataFrame:
-    """Per (entity, kind): ``count, total, last_at`` and ``count_<w>, total_<w>`` per window.
+    """Per (entity, kind) with an event up to ``as_of``: ``count, total, last_at, recency_days``
+    and ``count_<w>, total_<w>`` per window.
 
-    A window of ``d`` days covers the days ``as_of - d + 1 .. as_of``. Without an
-    ``as_of`` (no dated event at all) every window is 0.
+    A window of ``d`` days covers the days ``as_of - d + 1 .. as_of``. ``recency_days`` is
+    the number of days from the latest event's to ``as_of``, null if no event has a time.
+    Without an ``as_of`` (no dated event at all) every window is 0.
     """
-    end = F.lit(as_of) if as_of else F.lit(UNDATED)
-    aggregates = [_as_of("cum_count", end).alias("count"), _as_of("cum_total", end).alias("total"), F.max("last_at").alias("last_at")]
-    for name, days in windows.items():
-        start = F.lit(as_of - dt.timedelta(days=days)) if as_of else F.lit(UNDATED)
-        for column, label in (("cum_count", "count"), ("cum_total", "total")):
-            aggregates.append((_as_of(column, end) - _as_of(column, start)).alias(f"{label}_{name}"))
-    return store.groupBy("entity", "kind").agg(*aggregates)
+    end = F.lit(as_of or UNDATED)
+    ends = {"": end} | {w: F.lit(as_of - dt.timedelta(days=d)) if as_of else end for w, d in windows.items()}
+    at = store.groupBy("entity", "kind").agg(*[_as_of(day).alias(f"at_{w}") for w, day in ends.items()]).where("at_ is not null")
+    since = lambda w, c: F.col(f"at_.{c}") - F.coalesce(F.col(f"at_{w}.{c}"), F.lit(0))
+    return at.select(
+        "entity",
+        "kind",
+        F.col("at_.cum_count").alias("count"),
+        F.col("at_.cum_total").alias("total"),
+        F.col("at_.last_at").alias("last_at"),
+        F.date_diff(end, F.to_date("at_.last_at")).cast("bigint").alias("recency_days"),
+        *[since(w, f"cum_{m}").alias(f"{m}_{w}") for w in windows for m in ("count", "total")],
+    )
+
+
+def by_entity(features: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """``(entity, types)``: one row per entity; ``types`` has, in order of the kinds, a struct
+    ``(kind, <figures>)`` for each kind the entity has, so hundreds of kinds need no
+    column each. A null kind is left out."""
+    cell = F.struct("kind", "count", "total", "last_at", "recency_days", *measures(windows)[2:])
+    return features.groupBy("entity").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), cell))).alias("types"))
 
 
 def widen(features: DataFrame, kinds: list[str], columns: list[str], prefix: str = "") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.operators.entity_features import cumulative_store, widen, window_features
+from tidewake.operators.entity_features import by_entity, cumulative_store, measures, widen, window_features, write_store
 from tidewake.operators.nested import shred_posts
 from tidewake.operators.snapshot_diff import snapshot_changes
 from tidewake.session import Stage
@@ -13,8 +13,6 @@ from tidewake.session import Stage
 COMPARED = ["screen_name", "followers_count", "statuses_count"]
 KINDS = ["original", "amplification", "quote"]
 WINDOWS = {"7d": 7, "28d": 28}
-#: Event types a feature table may have as columns; more is an error, not a cut.
-MAX_TYPES = 20_000
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -40,33 +38,48 @@ def distinct_posts(tweets: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("tweet_id").agg(F.min_by("r", "r.row_id").alias("r")).select("tweet_id", "r.*")
 
 
-def p5_entity_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per account: whole-history and windowed features per kind of action, the
-    current amplification figures, and count, total and latest time of each of the
-    hundreds of (kind, client) event types. Totals are tags and mentions used."""
+def _actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every post once, with its event type (kind of action and client) and the tags and mentions it uses."""
     posts = distinct_posts(
         read(spark, sf, "tweets").withColumn("used", F.coalesce(F.size("hashtags"), F.lit(0)) + F.coalesce(F.size("mentions"), F.lit(0))),
         "row_id", "author_handle", "posted_at", "source_client", "is_retweet", "is_quote", "content_tweet_id", "content_author_handle", "used",
     )
     kind = F.when(F.col("is_retweet"), "amplification").when(F.col("is_quote"), "quote").otherwise("original")
-    posts = posts.withColumn("action", kind)
-    posts = posts.withColumn("type", F.concat_ws(":", "action", F.coalesce("source_client", F.lit("unknown"))))
-    posts = Stage(spark).cut(posts)  # deduplicated once for the store, the types and the two figures below
-    as_of = posts.agg(F.max(F.to_date("posted_at"))).first()[0]
-    types = sorted(r[0] for r in posts.select("type").distinct().limit(MAX_TYPES + 1).collect())
-    if len(types) > MAX_TYPES:
-        raise ValueError(f"a table has at most {MAX_TYPES} event types")
-    # one store by the fine types; the kinds' features are sums of theirs
-    fine = window_features(cumulative_store(posts, "author_handle", "type", "posted_at", "used"), as_of, WINDOWS)
-    measures = ["count", "total", *[f"{m}_{w}" for w in WINDOWS for m in ("count", "total")]]
-    coarse = (
-        fine.withColumn("kind", F.substring_index("kind", ":", 1))
-        .groupBy("entity", "kind")
-        .agg(*[F.sum(m).alias(m) for m in measures], F.max("last_at").alias("last_at"))
+    return posts.withColumn("type", F.concat_ws(":", kind, F.coalesce("source_client", F.lit("unknown"))))
+
+
+def _type_features(stage: Stage, posts: DataFrame) -> DataFrame:
+    """Features of every (account, event type) as of the day of the newest post, from the written store."""
+    store = write_store(cumulative_store(posts, "author_handle", "type", "posted_at", "used"), stage.place())
+    return window_features(store, posts.agg(F.max(F.to_date("posted_at"))).first()[0], WINDOWS)
+
+
+def p5_type_features(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per account and event type (kind of action and client, some hundreds): count,
+    total of tags and mentions used, latest time, recency and windows."""
+    stage = Stage(spark)
+    return _type_features(stage, stage.cut(_actions(spark, sf))).withColumnsRenamed({"entity": "author_handle", "kind": "type"})
+
+
+def p5_entity_features(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per account: count, total, latest time, recency and windows per kind of
+    action, the same for every event type the account has (``types``, as text
+    ``type,figures`` joined by ``|``), and the current amplification figures."""
+    stage = Stage(spark)
+    posts = stage.cut(_actions(spark, sf))  # deduplicated once for the store and the two figures below
+    fine = stage.cut(_type_features(stage, posts))
+    # the kinds' features are sums of their types'
+    coarse = fine.groupBy("entity", F.substring_index("kind", ":", 1).alias("kind")).agg(
+        *[F.sum(m).alias(m) for m in measures(WINDOWS)], F.max("last_at").alias("last_at"), F.min("recency_days").alias("recency_days")
     )
-    by_kind = widen(coarse, KINDS, [*measures, "last_at"])
-    by_kind = by_kind.select("entity", *[(F.coalesce(c, F.lit(0)) if not c.endswith("last_at") else F.col(c)).alias(c) for c in by_kind.columns[1:]])
-    by_type = widen(fine.select("entity", "kind", "count", "total", "last_at"), types, ["count", "total", "last_at"])
+    by_kind = widen(coarse, KINDS, [*measures(WINDOWS), "last_at", "recency_days"])
+    dated = ("last_at", "recency_days")
+    by_kind = by_kind.select("entity", *[(F.col(c) if c.endswith(dated) else F.coalesce(c, F.lit(0))).alias(c) for c in by_kind.columns[1:]])
+    text = lambda t: F.concat_ws(
+        ",", t["kind"], t["count"], t["total"], F.coalesce(F.date_format(t["last_at"], "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")), F.coalesce(t["recency_days"].cast("string"), F.lit("")),
+        *[t[m] for m in measures(WINDOWS)[2:]],
+    )
+    listed = by_entity(fine, WINDOWS).select("entity", F.size("types").alias("type_count"), F.array_join(F.transform("types", text), "|").alias("types"))
 
     boosts = posts.where("is_retweet")
     order = F.struct(F.col("posted_at").isNull().alias("a"), F.col("posted_at").alias("b"), F.col("author_handle").alias("c"), F.col("row_id").alias("d"))
@@ -85,7 +98,7 @@ def p5_entity_features(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("first_retweeter_count", F.lit(0)).alias("first_retweeter_count"),
         F.round(F.col("top_n") / F.col("retweet_count"), 4).alias("top_amplified_share"),
     )
-    out = by_kind.join(by_type, by_kind["entity"].eqNullSafe(by_type["entity"])).drop(by_type["entity"])
+    out = by_kind.join(listed, by_kind["entity"].eqNullSafe(listed["entity"])).drop(listed["entity"])
     out = out.join(account, out["entity"].eqNullSafe(account["entity"]), "left").drop(account["entity"])
     filled = {c: F.coalesce(c, F.lit(0)) for c in ("retweet_count", "first_retweeter_count")} | {"top_amplified_share": F.coalesce("top_amplified_share", F.lit(0.0))}
     return out.withColumns(filled).withColumnRenamed("entity", "author_handle")
@@ -96,7 +109,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumnsRenamed({"post_id": "tweet_id", "parent_post_id": "parent_tweet_id"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changed_fields, p5_entity_features, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_changed_fields, p5_entity_features, p5_type_features, p7_found)}
 
 _P2 = """
 WITH latest AS (
@@ -113,37 +126,42 @@ WHERE o.member_id IS NULL OR n.member_id IS NULL OR o.screen_name IS DISTINCT FR
 """
 _DIFFER = ", ".join(f"CASE WHEN o.member_id IS NOT NULL AND n.member_id IS NOT NULL AND o.{c} IS DISTINCT FROM n.{c} THEN '{c}' END" for c in COMPARED)
 
-#: Posts once each; in the PIVOT it stands in full, as that reads no CTE.
-_POSTS = """(
-  SELECT coalesce(tweet_id, 'row ' || row_id) AS tweet_id, row_id, author_handle, posted_at, is_retweet, content_tweet_id, content_author_handle,
+_POSTS = """posts AS (
+  SELECT row_id, author_handle, posted_at, is_retweet, content_tweet_id, content_author_handle,
     coalesce(len(hashtags), 0) + coalesce(len(mentions), 0) AS used,
     CASE WHEN is_retweet THEN 'amplification' WHEN is_quote THEN 'quote' ELSE 'original' END AS kind,
     coalesce(source_client, 'unknown') AS client
-  FROM tweets QUALIFY row_number() OVER (PARTITION BY coalesce(tweet_id, 'row ' || row_id) ORDER BY row_id) = 1)"""
-_P5 = """
-WITH posts AS {posts},
-ending AS (SELECT max(posted_at::DATE) AS d FROM posts),
-kinds AS (SELECT author_handle AS h, {kinds} FROM posts, ending GROUP BY 1),
-types AS (PIVOT (SELECT author_handle AS h, kind || ':' || client AS t, used, posted_at FROM {posts}) ON t
-  USING nullif(count(*), 0) AS "count", sum(used)::BIGINT AS total, max(posted_at) AS last_at GROUP BY h),
+  FROM tweets QUALIFY row_number() OVER (PARTITION BY coalesce(tweet_id, 'row ' || row_id) ORDER BY row_id) = 1),
+ending AS (SELECT max(posted_at::DATE) AS d FROM posts)"""
+
+
+def _figures(where: str, name: str = "") -> str:
+    """The figures of one group's posts, of those ``where`` holds for."""
+    inside = {w: f"{where} AND posted_at::DATE > d - {n}" for w, n in WINDOWS.items()}
+    parts = [
+        f"count(*) FILTER ({where}) AS {name}count, coalesce(sum(used) FILTER ({where}), 0)::BIGINT AS {name}total, max(posted_at) FILTER ({where}) AS {name}last_at",
+        f"any_value(d) - (max(posted_at) FILTER ({where}))::DATE AS {name}recency_days",
+        *[f"count(*) FILTER ({x}) AS {name}count_{w}, coalesce(sum(used) FILTER ({x}), 0)::BIGINT AS {name}total_{w}" for w, x in inside.items()],
+    ]
+    return ", ".join(parts)
+
+
+_P5_TYPES = f"WITH {_POSTS} SELECT author_handle, kind || ':' || client AS type, {_figures('true')} FROM posts, ending GROUP BY 1, 2"
+_P5_TEXT = "type || ',' || count || ',' || total || ',' || coalesce(strftime(last_at, '%Y-%m-%d %H:%M:%S.%f'), '') || ',' || coalesce(recency_days::VARCHAR, '')" + "".join(
+    f" || ',' || {m}_{w}" for w in WINDOWS for m in ("count", "total")
+)
+_P5 = f"""
+WITH {_POSTS},
+kinds AS (SELECT author_handle AS h, {", ".join(_figures(f"kind = '{k}'", f"{k}_") for k in KINDS)} FROM posts, ending GROUP BY 1),
+types AS (SELECT author_handle AS h, count(*)::INT AS type_count, string_agg({_P5_TEXT}, '|' ORDER BY type) AS types FROM (
+  SELECT author_handle, kind || ':' || client AS type, {_figures('true')} FROM posts, ending GROUP BY 1, 2) GROUP BY 1),
 firsts AS (SELECT a AS h, count(*) AS n FROM (SELECT author_handle AS a FROM posts WHERE is_retweet
   QUALIFY row_number() OVER (PARTITION BY content_tweet_id ORDER BY posted_at NULLS LAST, author_handle, row_id) = 1) GROUP BY 1),
 tops AS (SELECT h, sum(n)::BIGINT AS n, max(n) AS m FROM (SELECT author_handle AS h, content_author_handle, count(*) AS n FROM posts WHERE is_retweet GROUP BY 1, 2) GROUP BY 1)
-SELECT k.h AS author_handle, k.* EXCLUDE (h), t.* EXCLUDE (h), coalesce(p.n, 0) AS retweet_count, coalesce(f.n, 0) AS first_retweeter_count,
+SELECT k.h AS author_handle, k.* EXCLUDE (h), type_count, types, coalesce(p.n, 0) AS retweet_count, coalesce(f.n, 0) AS first_retweeter_count,
   coalesce(round(p.m / p.n, 4), 0.0) AS top_amplified_share
 FROM kinds k JOIN types t USING (h) LEFT JOIN tops p USING (h) LEFT JOIN firsts f USING (h)
 """
-_P5_KINDS = ", ".join(
-    x
-    for k in KINDS
-    for x in (
-        f"count(*) FILTER (kind = '{k}') AS {k}_count, coalesce(sum(used) FILTER (kind = '{k}'), 0)::BIGINT AS {k}_total, max(posted_at) FILTER (kind = '{k}') AS {k}_last_at",
-        *(
-            f"count(*) FILTER (kind = '{k}' AND posted_at::DATE > d - {n}) AS {k}_count_{w}, coalesce(sum(used) FILTER (kind = '{k}' AND posted_at::DATE > d - {n}), 0)::BIGINT AS {k}_total_{w}"
-            for w, n in WINDOWS.items()
-        ),
-    )
-)
 
 _P7 = """
 WITH good AS MATERIALIZED (SELECT raw_id, payload FROM raw_posts WHERE payload IS NOT NULL AND json_valid(payload)),
@@ -163,5 +181,6 @@ ORACLE = {
     "p7_found": _P7,
     "p2_found": _P2.format(extra=""),
     "p2_changed_fields": _P2.format(extra=f", concat_ws(',', {_DIFFER}) AS changed_fields"),
-    "p5_entity_features": _P5.format(kinds=_P5_KINDS, posts=_POSTS),
+    "p5_entity_features": _P5,
+    "p5_type_features": _P5_TYPES,
 }

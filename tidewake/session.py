@@ -61,12 +61,16 @@ class Stage:
         self.count = 0
         self.paths: dict[int, str] = {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.count}"
+    def place(self) -> str:
+        """A new path in the shared folder, for a table that is written some other way."""
+        if not self.count:  # the folder goes when the application ends
+            self._files(self.base, lambda fs, where: fs.mkdirs(where) and fs.deleteOnExit(where))
         self.count += 1
+        return f"{self.base}/{self.count}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = self.place()
         df.write.mode("overwrite").parquet(path)
-        if self.count == 1:  # the folder goes when the application ends
-            self._files(self.base, lambda fs, where: fs.deleteOnExit(where))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -337,3 +337,27 @@ def test_period_and_alignment():
     text = "\n".join(("    " if i % 2 else "") + f"key{i} : {i} : x" for i in range(16))
     stats = quality.text_statistics(text, frozenset(COMMON))
     assert stats["indent_period"] > 0.8 and stats["delimiter_alignment"] > 0.9
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+def test_edited_copies_are_found(spark, copies):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(2500)]
+    weight = [1 / (i + 3) for i in range(len(vocabulary))]
+    said = lambda n: rng.choices(vocabulary, weight, k=n)
+    items = [(i, said(60)) for i in range(60)]
+    docs, planted = [(d, " ".join(said(120))) for d in range(1500)], {}
+    for rate in (0.1, 0.2, 0.3):
+        for i, w in items:
+            for _ in range(copies):
+                at = rng.randrange(20)
+                part = [rng.choice(vocabulary) if rng.random() < rate else x for x in w[at : at + 40]]
+                planted[len(docs), i] = rate
+                docs.append((len(docs), " ".join(said(50) + part + said(30))))
+    got = leaks.leaked(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i int, p string"), "i", "p").collect()
+    found = {(r["d"], r["i"]): r for r in got}
+    for rate in (0.1, 0.2, 0.3):
+        mine = [k for k, v in planted.items() if v == rate]
+        assert sum(k in found for k in mine) >= 0.9 * len(mine), rate
+    assert all(r["points"] >= 24 and 0 < r["score"] <= 1 for r in got)
+    assert len(set(found) - set(planted)) <= 0.05 * len(planted)

@@ -69,13 +69,14 @@ def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return describe(_behaviour(spark, sf))
 
 
-def p8_aligned(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document and item that share a rare seed, with the score of their alignment."""
+def p8_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and item whose alignment earns what 12 words in a row do: whole, partial and
+    edited copies, with score and place."""
     return leaked(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "eval_items"), "item_id", "passage")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_aligned(spark, sf).where("longest_run >= 12").select("doc_id", "item_id")
+    return p8_edited(spark, sf).where("longest_run >= 12").select("doc_id", "item_id")
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +105,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_statistics(spark, sf).where("not_prose_share > 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_aligned, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 def _p1_form(source: str) -> str:
     return f"({look.look_query(source, '* EXCLUDE (value, look), value AS v, look AS form')})"

@@ -1,14 +1,16 @@
 """Per-document text statistics that tell natural prose from lists, tables and junk.
 
-Structure is read from the lines: delimiters that stand in the same number on
-consecutive lines (vertical alignment). Indentation that repeats with a period and
-the autocorrelation of line lengths are given, but mark no line. Word, symbol, punctuation and repetition ratios
-of every line decide the rest. Each character of a document is booked as prose or as
-one kind of non-prose; nothing is cut off.
+Structure is read from the lines of a block: delimiters that stand in the same number on
+consecutive lines (vertical alignment), indentation that repeats with a period, and the
+autocorrelation of line lengths. What lines show by these is added to the share of
+lines that end nowhere: together they make a block a table or a list. Word, symbol,
+punctuation and repetition ratios of every line decide the rest. Each character of a
+document is booked as prose or as one kind of non-prose; nothing is cut off.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -30,13 +32,18 @@ VOWELS = frozenset("aeiouyæœøıαεηιουωаеиоуыэюяіє")
 VOWELLED = ("LATIN", "GREEK", "CYRILLIC")
 UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "BOPOMOFO", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN")
 
+#: Periodicity from which lines of any length can be records.
+PERIODIC = 0.4
+
 _MARKER = re.compile(r"\s*(?:([-*•–—·▪◦‣+#→]+)|(\(?\d{1,4}[.):\]])|(\(?[a-zA-Z][.)])|(\[.?\]|☐|☑|✓|✔))\s+")
 _LOG = re.compile(r"\W*(?:\d{4}-\d\d-\d\d[T ]?|\d\d?[/.]\d\d?[/.]\d{2,4}\s|\d\d:\d\d(?::\d\d)?\b|\[?(?:INFO|WARN|ERROR|DEBUG|SKIP)\b)")
 _PAIR = re.compile(r"[\w.-]+=[^\s=]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _REFERENCE = re.compile(r"(?:https?://|www\.)\S+|[#@]\w[\w.]*|\w+@\w[\w.]*")
-_SENTENCE_END = re.compile(r"[.!?…;·][»\"”')*]*\s*$")
-_INNER_END = re.compile(r"[.!?…]['\"”»)*]*\s+[*'\"“«(]*[^\W\d_]|;\s+[A-ZΑ-ΩΆΈΉΊΌΎΏ]")
+# Sentence marks of scripts besides the European ones.
+OTHER_ENDS = "。！？｡．؟؛۔।॥։՞።፧။"
+_SENTENCE_END = re.compile(rf"[.!?…;·{OTHER_ENDS}][»\"”’」』）')*]*\s*$")
+_INNER_END = re.compile(rf"[.!?…]['\"”»)*]*\s+[*'\"“«(]*[^\W\d_]|;\s+[A-ZΑ-ΩΆΈΉΊΌΎΏ]|[{OTHER_ENDS}]\s*[^\W\d_]")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _ITEM = re.compile("[,;] ")
 _SYMBOL = re.compile(r"[^\w\s]|_")
@@ -135,6 +142,42 @@ def _autocorrelation(values: list[int], lag: int) -> float:
     return sum((values[i] - mean) * (values[i + lag] - mean) for i in range(n - lag)) / spread
 
 
+def period(values: list[int]) -> float:
+    """How strongly a sequence repeats with some period of 2 to 6: 0 to 1.
+
+    The highest autocorrelation over these lags, less what a random sequence of that
+    length reaches, and less what the lag before it shows, so that a trend is none. Six
+    lines or more that are all alike count 1.
+    """
+    n = len(values)
+    if n < 6:
+        return 0.0
+    if len(set(values)) == 1:
+        return 1.0
+    near = [_autocorrelation(values, k) for k in range(1, 7) if n > 2 * k]
+    peaks = [r * n / (n - k) - max(before, 0.0) for k, (before, r) in enumerate(zip(near, near[1:]), 2)]
+    return min(1.0, max(0.0, max(peaks, default=0.0) - 1.5 / math.sqrt(n)))
+
+
+def _periodic(run: list[_Line]) -> tuple[float, float]:
+    """Periodicity of a block's indentation and of its line lengths."""
+    indents = [x.indent for x in run]
+    return period(indents) if len(set(indents)) > 1 else 0.0, period([len(x.text) for x in run])
+
+
+def _verse(run: list[_Line], common: frozenset[str]) -> bool:
+    """Lines of a measure: of like length, of several words with many common ones, that begin
+    differently."""
+    lengths = [len(x.text) for x in run]
+    mean = sum(lengths) / len(run)
+    even = math.sqrt(sum((n - mean) ** 2 for n in lengths) / len(run)) <= 0.3 * mean
+    words = [w for x in run for w in x.plain]
+    begins = Counter(x.plain[0] for x in run if x.plain)
+    various = len({tuple(x.plain[:2]) for x in run}) >= 0.85 * len(run) and max(begins.values(), default=0) <= 0.5 * len(run)
+    opens = sum(n for w, n in begins.items() if w in common) / len(run)
+    return even and various and 3.5 <= len(words) / len(run) <= 14 and _function_share(words, common) >= 0.4 and (opens >= 0.4 or sum(x.text.rstrip().endswith(",") for x in run) >= 0.3 * len(run))
+
+
 def _wrapped(run: list[_Line]) -> bool:
     """Prose broken at a width: lines fill it, break inside sentences and go on in lower case."""
     if len(run) < 2:
@@ -150,7 +193,7 @@ def _wrapped(run: list[_Line]) -> bool:
     return full >= 0.6 and (goes_on >= 0.4 and stops >= 0.2 or stops >= 0.4)
 
 
-def _lists(lines: list[_Line]) -> None:
+def _lists(lines: list[_Line], common: frozenset[str]) -> None:
     for run in _blocks(lines, lambda a, b: a.marker is not None and a.marker == b.marker):
         if run[0].marker is None or len(run) < 2:
             continue
@@ -158,15 +201,23 @@ def _lists(lines: list[_Line]) -> None:
         if said < 0.5:
             for x in run:
                 x.kind = x.kind or "list"
-    # lines without markers: short, unfinished, and not prose broken at a width
-    short = lambda x: x.kind in ("", "junk") and len(x.text) <= 90
-    for run in _blocks(lines, lambda a, b: short(a) and short(b)):
-        if len(run) < 4 or not short(run[0]):
-            continue
-        unfinished = sum(not x.ends and not x.inner for x in run) / len(run)
-        if unfinished >= 0.7 and not _wrapped(run):
-            for x in run:
-                x.kind = x.kind or "list"
+    # lines without markers: unfinished ones, and the more so if they come in a period; short
+    # ones by themselves, any that way
+    open_ = lambda x: x.kind in ("", "junk")
+    short = lambda x: open_(x) and len(x.text) <= 90
+    for fits, least in ((open_, 6), (short, 4)):
+        for run in _blocks(lines, lambda a, b: fits(a) and fits(b)):
+            if len(run) < least or not fits(run[0]):
+                continue
+            unfinished = sum(not x.ends and not x.inner for x in run) / len(run)
+            indented, measured = _periodic(run)
+            if fits is open_ and max(indented, measured) < PERIODIC or _verse(run, common):
+                continue
+            if indented < PERIODIC and _wrapped(run):  # wrapped prose isn't indented in a period
+                continue
+            if unfinished + max(indented, measured) >= 0.7:
+                for x in run:
+                    x.kind = x.kind or "list"
 
 
 def _function_share(plain: list[str], common: frozenset[str]) -> float:
@@ -245,7 +296,7 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
     for x in lines:
         if not x.kind and times[x.text.strip()] >= 3 and (len(x.words) != 1 or x.size > 20):
             x.kind = "junk"
-    _lists(lines)
+    _lists(lines, common)
     total = sum(x.size for x in lines)
     by_kind = Counter()
     for x in lines:
@@ -267,6 +318,7 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
         "function_word_share": _function_share(plain, common),
         "delimiter_alignment": sum(x.cells > 0 for x in lines) / len(lines),
         "indent_period": max((_autocorrelation(indents, k) for k in (1, 2, 3, 4)), default=0.0) if len(set(indents)) > 1 else 0.0,
+        "line_period": max(_periodic(lines)),
         "line_length_autocorrelation": max(_autocorrelation(lengths, k) for k in (1, 2, 3)),
         "repeated_share": repeated,
         "table_share": by_kind["table"] / total,
@@ -280,7 +332,7 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
 
 COLUMNS = (
     "words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "punctuated_line_share", "marked_line_share", "common_word_share",
-    "function_word_share", "delimiter_alignment", "indent_period", "line_length_autocorrelation", "repeated_share", "table_share", "list_share",
+    "function_word_share", "delimiter_alignment", "indent_period", "line_period", "line_length_autocorrelation", "repeated_share", "table_share", "list_share",
     "log_share", "junk_share", "not_prose_share",
 )
 

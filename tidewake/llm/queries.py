@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import look
+from tidewake.llm import look, quality
 from tidewake.llm.components import connected_groups
 from tidewake.llm.density_peaks import density_clusters, describe, scaled_vectors
 from tidewake.llm.leaks import leaked
 from tidewake.llm.mixing import mix
-from tidewake.llm.quality import quality
 from tidewake.llm.set_pairs import expanded, similar_sets
 from tidewake.operators import ml
 from tidewake.session import Stage
@@ -97,21 +96,51 @@ def _common_words(spark: SparkSession, sf: str) -> list[str]:
     return [r[0] for r in read(spark, sf, "common_words").select("word").distinct().collect()]
 
 
+#: Statistics that plain SQL can count, too.
+COUNTED = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "punctuated_line_share", "common_word_share")
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(read(spark, sf, "documents"), "doc_id", "text", _common_words(spark, sf))
+
+
 def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return quality(read(spark, sf, "documents"), "doc_id", "text", _common_words(spark, sf))
+    """Word, symbol, line and common-word statistics of every document."""
+    return _quality(spark, sf).select("doc_id", *[F.round(c, 6).alias(c) for c in COUNTED])
+
+
+def p10_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment, periods and the shares of prose, tables, lists, logs and junk of every document."""
+    return _quality(spark, sf).select("doc_id", *[c for c in quality.COLUMNS if c not in COUNTED])
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_statistics(spark, sf).where("not_prose_share > 0.5").select("doc_id")
+    return _quality(spark, sf).where("not_prose_share > 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p10_found, p10_statistics, p10_structure)}
 
 def _p1_form(source: str) -> str:
     return f"({look.look_query(source, '* EXCLUDE (value, look), value AS v, look AS form')})"
 
 
+#: A letter, or a number that is no digit.
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+
 ORACLE = {
+    "p10_statistics": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+x AS (SELECT doc_id, regexp_extract_all(t, '{_LETTER}+(?:[''’]{_LETTER}+)*') AS w, regexp_matches(t, '[.!?…;·。！？｡．؟؛۔।॥։՞፧][»"”’」』）'')*]*\s*$') AS ends FROM l WHERE regexp_matches(t, '[^\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]')),
+c AS (SELECT DISTINCT strip_accents(lower(word)) AS v FROM common_words WHERE word <> ''),
+s AS (SELECT doc_id, count(*) AS n, avg(ends::INT) AS ends FROM x GROUP BY 1),
+u AS (SELECT doc_id, unnest(w) AS w FROM x),
+w AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS size, count(*) FILTER (strip_accents(replace(lower(w), 'ς', 'σ')) IN (SELECT replace(v, 'ς', 'σ') FROM c)) AS common FROM u GROUP BY 1)
+SELECT doc_id, coalesce(w.n, 0)::DOUBLE AS words, coalesce(round(size / w.n, 6), 0) AS mean_word_length,
+  coalesce(round(length(regexp_replace(text, '[\p{{L}}\p{{N}}\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]', '', 'g')) / length(text), 6), 0) AS symbol_ratio,
+  coalesce(round(length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) / length(text), 6), 0) AS digit_ratio,
+  coalesce(s.n, 0)::DOUBLE AS lines, coalesce(round(s.ends, 6), 0) AS punctuated_line_share, coalesce(round(common / w.n, 6), 0) AS common_word_share
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN w USING (doc_id)
+""",
     "p1_found": f"""
 WITH t AS MATERIALIZED {_p1_form("SELECT row_id, canonical_text AS value FROM tweets WHERE canonical_text IS NOT NULL")},
 h AS MATERIALIZED {_p1_form("SELECT * FROM (SELECT row_id, unnest(range(len(hashtags_raw)))::INT AS pos, unnest(hashtags_raw) AS value FROM tweets) WHERE value IS NOT NULL")},

@@ -24,23 +24,27 @@ LAYOUTS = 8
 BLOCK = 2048
 #: Hyperplanes of a layout; what is still together after all of them differs by next to nothing.
 PLANES = 48
-#: Queries compared with all rows at a time (a block of the query set).
-QUERIES = 2048
+#: Queries compared with all rows in one pass (a block of the query set), and of these at a time.
+QUERIES = 65_536
+QUERIES_AT_ONCE = 1024
 #: Neighbour whose median distance over all records is the density's radius.
 NEIGHBOUR = 16
-#: A cluster holds at least this part of all records; a smaller one joins its denser neighbour's.
-SMALLEST_SHARE = 0.02
-#: Records of the highest density times distance, among which the peaks are chosen.
-MOST_PEAKS = 64
+#: Density that a peak has at least: in neighbours within the radius, and as a part of the
+#: densest record's. What is sparser is a lone outlier or a few alike ones.
+LEAST_DENSITY = 4.0
+LEAST_PART = 0.05
+#: Distances to the nearest denser record are told apart in steps of this ratio when the gap is looked for.
+GAP_STEP = 1.01
 
 
-def scaled_vectors(df: DataFrame, record: str, features: list[str], logs: list[str], clip: float = 3.0) -> DataFrame:
+def scaled_vectors(df: DataFrame, record: str, features: list[str], logs: list[str], clip: float = 3.0, weights: dict[str, float] | None = None) -> DataFrame:
     """``(record, vec)``: features on one scale, from statistics over all records.
 
     Counts named in ``logs`` enter as log(1 + x), skewed as they are; every feature is
     centred, divided by its deviation and clipped, so that an outlier in a single
     feature moves its record a bounded way. An unknown value stands at the mean. Of
-    several rows of a record the largest counts (identical ones are one).
+    several rows of a record the largest counts (identical ones are one). ``weights`` are
+    factors of the scaled features, 1 for those not named.
     """
     value = {f: (F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))) if f in logs else F.col(f).cast("double")) for f in features}
     cells = [F.when(~F.isnan(v), v).alias(f"f{i}") for i, v in enumerate(value.values())]
@@ -48,10 +52,11 @@ def scaled_vectors(df: DataFrame, record: str, features: list[str], logs: list[s
     rows = rows.groupBy("record").agg(F.max("r").alias("r")).select("record", "r.*")
     stats = rows.agg(*[g(f"f{i}").alias(f"{n}{i}") for i in range(len(features)) for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = []
-    for i in range(len(features)):
+    for i, feature in enumerate(features):
         mean, dev = stats[f"m{i}"], stats[f"s{i}"]
         z = (F.col(f"f{i}") - F.lit(mean or 0.0)) / F.lit(dev) if dev else F.lit(0.0)
-        scaled.append(F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)), F.lit(0.0)).cast("float"))
+        bounded = F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)), F.lit(0.0))
+        scaled.append((bounded * F.lit(float((weights or {}).get(feature, 1.0)))).cast("float"))
     return rows.select("record", F.array(*scaled).alias("vec"))
 
 
@@ -168,19 +173,29 @@ def _against_all(points: DataFrame, queries: list, kind: str) -> DataFrame:
     q_vec = np.array([q["vec"] for q in queries], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, up = np.full(len(q_ids), np.inf, np.float32), np.empty(len(q_ids), object)
+        kind_of_id = None
         for batch in batches:
-            ids, rho, x = batch.column(0).to_pylist(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            d = _squared(q_vec, x)
-            d[rho[None, :] < q_rho[:, None]] = np.inf
-            for i, j in zip(*np.nonzero(rho[None, :] == q_rho[:, None])):
-                if ids[j] >= q_ids[i]:
-                    d[i, j] = np.inf
-            best = d.argmin(axis=1)
-            near = d[np.arange(len(q_ids)), best]
-            ok = np.flatnonzero(np.isfinite(near))
+            kind_of_id = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 2 * QUERIES_AT_ONCE):
+                part = batch.slice(at, 2 * QUERIES_AT_ONCE)
+                ids, rho, x = np.array(part.column(0).to_pylist(), object), part.column(1).to_numpy(), _matrix(part.column(2))
+                for first in range(0, len(q_ids), QUERIES_AT_ONCE):
+                    to = slice(first, first + QUERIES_AT_ONCE)
+                    d = _squared(q_vec[to], x)
+                    d[rho[None, :] < q_rho[to, None]] = np.inf
+                    for i, j in zip(*np.nonzero(rho[None, :] == q_rho[to, None])):
+                        if ids[j] >= q_ids[first + i]:
+                            d[i, j] = np.inf
+                    near = d.argmin(axis=1)
+                    least = d[np.arange(len(d)), near]
+                    better = least < best[to]
+                    best[to][better] = least[better]
+                    up[to][better] = ids[near[better]]
+        if kind_of_id is not None:
+            ok = np.flatnonzero(np.isfinite(best))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([q_ids[i] for i in ok], batch.schema.field(0).type), pa.array(np.sqrt(near[ok]).astype(np.float64)), pa.array([ids[best[i]] for i in ok], batch.schema.field(0).type)],
-                ["id", "delta", "up"],
+                [pa.array([q_ids[i] for i in ok], kind_of_id), pa.array(np.sqrt(best[ok]).astype(np.float64)), pa.array(list(up[ok]), kind_of_id)], ["id", "delta", "up"]
             )
 
     found = points.select("id", "rho", "vec").mapInArrow(run, f"id {kind}, delta double, up {kind}")
@@ -191,58 +206,44 @@ def _nearest(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min(F.struct("delta", "up")).alias("n")).select("id", "n.delta", "n.up")
 
 
-def choose_peaks(candidates: dict, sizes: dict, up: dict, least: float) -> dict:
-    """The peak of each candidate, by candidate.
+def _gap(dense: DataFrame, radius: float) -> float:
+    """The distance that parts peaks from other records ``(delta)``: the middle of the widest
+    ratio gap above ``radius``, found in a histogram of the distances' logarithms, whose
+    size depends on their range alone."""
+    step = F.floor(F.log("delta") / F.lit(math.log(GAP_STEP))).cast("bigint").alias("step")
+    seen = [r["step"] for r in dense.where(F.col("delta") > radius).select(step).distinct().orderBy("step").collect()]
+    steps = [math.floor(math.log(radius) / math.log(GAP_STEP)), *seen]
+    if not seen:
+        return radius
+    # of equally wide gaps the upper one
+    low, high = max(zip(steps, steps[1:]), key=lambda g: (g[1] - g[0], g[0]))
+    return GAP_STEP ** ((low + 1 + high) / 2)
 
-    ``candidates`` is id -> distance to the nearest denser record, ``sizes`` id -> records
-    that follow it first, ``up`` id -> candidate that its denser neighbour follows (None for
-    the densest). Candidates that fewer than ``least`` records come to, directly or through
-    others, are outliers and follow on; of the others those before the widest gap in
-    distance are peaks.
-    """
-    behind = dict.fromkeys(candidates, 0)
-    for c in candidates:
-        at = c
-        while at is not None:
-            behind[at] += sizes.get(c, 0)
-            at = up[at]
-    peaks = {c for c in candidates if behind[c] >= least}
-    ranked = sorted(peaks, key=lambda c: (-candidates[c], c))
-    if len(ranked) > 2:
-        ratios = [candidates[ranked[i]] / max(candidates[ranked[i + 1]], 1e-9) for i in range(len(ranked) - 1)]
-        ranked = ranked[: max(range(len(ratios)), key=lambda i: (ratios[i], -i)) + 1]
-    peaks = set(ranked) | {c for c in candidates if up[c] is None}
-    out = {}
-    for c in candidates:
-        at = c
-        while at not in peaks:
-            at = up[at]
-        out[c] = at
-    return out
-
-
-def _follow(stage: Stage, links: DataFrame, stops: list) -> DataFrame:
-    """``(id, p)``: every record's pointer chain up to one of ``stops`` or its end, by doubling."""
-    stop = F.col("id").isin(stops) | F.col("up").isNull()
-    tree = stage.cut(links.select("id", F.when(stop, F.col("id")).otherwise(F.col("up")).alias("p")))
+
+def _follow(stage: Stage, links: DataFrame) -> DataFrame:
+    """``(id, p)``: every record's pointer chain up to a record whose ``up`` is null, by doubling."""
+    tree = stage.cut(links.select("id", F.coalesce("up", "id").alias("p")))
     while True:
         up = tree.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        following = stage.cut(tree.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+        following, moved = stage.cut_counting(tree.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "moved")
         stage.drop(tree)
         tree = following
-        if not tree.where("moved").limit(1).count():
+        if not moved:
             return tree.select("id", "p")
 
 
-def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def density_clusters(
+    vectors: DataFrame, layouts: int = LAYOUTS, block: int = BLOCK, seed: int = 11, neighbour: int = NEIGHBOUR, least_density: float = LEAST_DENSITY, least_part: float = LEAST_PART
+) -> DataFrame:
     """``(record, cluster, rho, delta)`` for ``(record, vec)``; one row per record.
 
     ``cluster`` is the peak's record, ``rho`` the local density and ``delta`` the distance
     to the nearest denser record (null for the densest of all). Records with equal
     vectors are one weighted point, so a group of copies costs one. Ties in density
-    go to the smaller record. The ``MOST_PEAKS`` records of the highest density times
-    distance are tried as peaks; the widest gap in distance decides how many are. No
-    record: no rows; one record: its own cluster.
+    go to the smaller record. Peaks are all records whose distance lies above the widest
+    gap, of those whose density is ``least_density`` neighbours and ``least_part`` of the
+    highest density at least; there may be any number of them, of any share of the
+    records. No record: no rows; one record: its own cluster.
     """
     stage = Stage(vectors.sparkSession)
     vectors = stage.cut(vectors)
@@ -252,7 +253,7 @@ def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BL
     kind = vectors.schema["record"].dataType.simpleString()
     points = stage.cut(vectors.groupBy("vec").agg(F.min("record").alias("id"), F.count(F.lit(1)).alias("weight")).select("id", "vec", "weight"))
     placed = stage.cut(blocks(stage, points, len(first[0]), layouts, block, seed))
-    kth = _by_block(placed.where("layout = 0"), ["vec", "weight"], _neighbour_distance(NEIGHBOUR), "kth double")
+    kth = _by_block(placed.where("layout = 0"), ["vec", "weight"], _neighbour_distance(neighbour), "kth double")
     radius = kth.select(F.percentile_approx("kth", 0.5, 10_000)).first()[0] or 1.0  # over all points, in bounded memory
     rho = _by_block(placed, ["id", "vec", "weight", "share"], _density(radius), f"id {kind}, rho double").groupBy("id").agg(F.max("rho").alias("rho"))
     rho = stage.cut(rho)
@@ -260,27 +261,16 @@ def density_clusters(vectors: DataFrame, layouts: int = LAYOUTS, block: int = BL
     found = _by_block(placed.select("block", "id", "vec").join(rho, "id"), ["id", "rho", "vec"], _denser, f"id {kind}, delta double, up {kind}")
     links = stage.cut(_nearest(found))
     tops = stage.cut(dense.join(links, "id", "left_anti"))
-    count = tops.count()
-    spread = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(count / QUERIES))))
-    for part in range(max(1, math.ceil(count / QUERIES))):
-        queries = tops.where(spread == part).collect()
+    passes = max(1, math.ceil(tops.count() / QUERIES))
+    for part in range(passes):
+        queries = tops.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == part).collect()
         if queries:
             links = links.unionAll(stage.cut(_against_all(dense, queries, kind)))
     links = stage.cut(dense.select("id", "rho").join(links, "id", "left"))
-    far = F.coalesce("delta", F.lit(float("inf")))
-    listed = links.orderBy((far * F.col("rho")).desc(), "id").limit(MOST_PEAKS).collect()
-    ends = [r["id"] for r in links.where("up is null").limit(MOST_PEAKS).collect()]
-    stops = sorted({r["id"] for r in listed} | set(ends))
-    tree = _follow(stage, links, stops)
-    followers = tree.join(points.select("id", "weight"), "id").groupBy("p").agg(F.sum("weight").alias("n")).collect()
-    sizes = {r["p"]: r["n"] for r in followers}
-    above = {r["id"]: r["up"] for r in listed if r["up"] is not None}
-    over = {r["id"]: r["p"] for r in tree.where(F.col("id").isin(list(above.values()))).collect()}
-    widest = max((r["delta"] for r in listed if r["delta"] is not None), default=0.0)
-    distance = {r["id"]: r["delta"] if r["delta"] is not None else widest for r in listed} | {e: widest for e in ends}
-    peak_of = choose_peaks(distance, sizes, {c: over[above[c]] if c in above else None for c in distance}, SMALLEST_SHARE * sum(sizes.values()))
-    peak = F.create_map(*[F.lit(x) for pair in peak_of.items() for x in pair])
-    tree = tree.select("id", peak[F.col("p")].alias("p"))
+    enough = F.col("rho") >= max(least_density, least_part * (rho.agg(F.max("rho")).first()[0] or 0.0))
+    gap = _gap(links.where(enough & F.col("delta").isNotNull()).select("delta"), radius)
+    is_peak = F.col("up").isNull() | (enough & (F.col("delta") > gap))
+    tree = _follow(stage, links.select("id", F.when(~is_peak, F.col("up")).alias("up")))
     point = links.join(tree.select("id", F.col("p").alias("cluster")), "id").select("id", "cluster", "rho", "delta")
     same = vectors.join(points.select("vec", "id"), "vec").select("record", "id")
     return same.join(point, "id").select("record", "cluster", "rho", "delta")

@@ -45,16 +45,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
 
 
-#: What a profile shows is no behaviour, and for many accounts it is unknown.
+#: What a profile shows says less about behaviour, and for many accounts it is unknown.
 PROFILE = ("followers_count", "friends_count", "statuses_count", "account_age_days", "default_profile", "default_profile_image", "is_blue_verified")
-BEHAVIOUR = [*(f for f in ml.FEATURES if f not in PROFILE), "coordination_score"]
-RATIOS = ("retweet_ratio", "retweets_to_member_ratio", "top_amplified_share", "first_retweeter_ratio", "coordination_score")
+PROFILE_WEIGHT = 0.25
+BEHAVIOUR = [*ml.FEATURES, "coordination_score"]
+#: Features on no log scale.
+RATIOS = ("retweet_ratio", "retweets_to_member_ratio", "top_amplified_share", "first_retweeter_ratio", "coordination_score", "default_profile", "default_profile_image", "is_blue_verified")
 
 
 def _behaviour(spark: SparkSession, sf: str) -> DataFrame:
     table = read(spark, sf, "ml_feature_matrix")
     logs = [c for c in BEHAVIOUR if c not in RATIOS and not c.startswith("role_")]
-    return density_clusters(scaled_vectors(table, "account_handle", BEHAVIOUR, logs))
+    return density_clusters(scaled_vectors(table, "account_handle", BEHAVIOUR, logs, weights=dict.fromkeys(PROFILE, PROFILE_WEIGHT)))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

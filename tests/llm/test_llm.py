@@ -361,3 +361,34 @@ def test_edited_copies_are_found(spark, copies):
         assert sum(k in found for k in mine) >= 0.9 * len(mine), rate
     assert all(r["points"] >= 24 and 0 < r["score"] <= 1 for r in got)
     assert len(set(found) - set(planted)) <= 0.05 * len(planted)
+
+
+def _brute_pairs(sets, threshold, least):
+    names = sorted(sets)
+    return {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) >= least and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+
+
+def test_values_that_all_records_share_make_no_square(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = {f"r{i:03d}": {"hot1", "hot2"} | {f"v{rng.randrange(3000)}" for _ in range(10)} for i in range(600)}
+    for i in range(0, 60, 2):
+        sets[f"r{i + 1:03d}"] = set(sorted(sets[f"r{i:03d}"])[:-2]) | {f"w{i}"}
+    sets["r500"] = set(sets["r010"])
+    rows = spark.createDataFrame([(r, v) for r, s in sets.items() for v in s], "r string, v string")
+    seen, whole = [], set_pairs._verified
+    monkeypatch.setattr(set_pairs, "_verified", lambda found, *rest: seen.append(found.count()) or whole(found, *rest))
+    pairs, members = set_pairs.similar_sets(rows, "r", "v", 0.5, 3)
+    want = _brute_pairs(sets, 0.5, 3)
+    assert {(r["record_a"], r["record_b"]) for r in set_pairs.expanded(pairs, members, 3).collect()} == want and len(want) > 30
+    assert seen[0] < 0.1 * 600 * 599 / 2
+    links = {r["record"]: r["links"] for r in set_pairs.linked_classes(pairs, members, 3).collect()}
+    assert links == {r: sum(r in p for p in want) for r in sets}
+
+
+def test_many_records_alike_are_compared_where_they_are(spark):
+    rng = random.Random(7)
+    core = [f"c{i}" for i in range(30)]
+    sets = {f"r{i:03d}": set(rng.sample(core, 26)) | {f"x{i}"} for i in range(120)}
+    rows = spark.createDataFrame([(r, v) for r, s in sets.items() for v in s], "r string, v string")
+    pairs, members = set_pairs.similar_sets(rows, "r", "v", 0.5, 3)
+    assert {(r["record_a"], r["record_b"]) for r in set_pairs.expanded(pairs, members, 3).collect()} == _brute_pairs(sets, 0.5, 3)

@@ -10,7 +10,7 @@ from tidewake.llm.components import connected_groups
 from tidewake.llm.density_peaks import density_clusters, describe, scaled_vectors
 from tidewake.llm.leaks import leaked
 from tidewake.llm.mixing import mix
-from tidewake.llm.set_pairs import expanded, similar_sets
+from tidewake.llm.set_pairs import expanded, linked_classes, similar_sets
 from tidewake.operators import ml
 from tidewake.session import Stage
 
@@ -40,6 +40,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return expanded(pairs, members, 3).withColumnsRenamed({"record_a": "account_a", "record_b": "account_b"})
 
 
+def p3_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar pairs of accounts with different sets, one account for all with an equal set."""
+    pairs, _ = similar_sets(_amplified(spark, sf), "author_handle", "content_tweet_id", threshold=0.5, min_shared=3)
+    return pairs.select(F.col("rec_a").alias("account_a"), F.col("rec_b").alias("account_b"), F.col("shared").alias("shared_retweets"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every account with the account that stands for its set, the set's size and its number of similar accounts."""
+    pairs, members = similar_sets(_amplified(spark, sf), "author_handle", "content_tweet_id", threshold=0.5, min_shared=3)
+    return linked_classes(pairs, members, 3).withColumnsRenamed({"record": "account_handle", "rep": "class_handle", "n": "set_size"})
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     groups = connected_groups(read(spark, sf, "account_overlap"), "account_a", "account_b", read(spark, sf, "network_nodes"), "account_handle")
     return groups.withColumnsRenamed({"record": "account_handle", "group": "group_handle"})
@@ -120,12 +132,19 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return _quality(spark, sf).where("not_prose_share > 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p10_found, p10_statistics, p10_structure)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p3_classes, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p10_found, p10_statistics, p10_structure)}
 
 def _p1_form(source: str) -> str:
     return f"({look.look_query(source, '* EXCLUDE (value, look), value AS v, look AS form')})"
 
 
+_SETS = """
+WITH s AS (SELECT DISTINCT author_handle AS h, content_tweet_id AS t FROM tweets WHERE is_retweet AND author_handle IS NOT NULL AND content_tweet_id IS NOT NULL),
+n AS (SELECT h, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT x.h AS a, y.h AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.h < y.h GROUP BY 1, 2 HAVING count(*) >= 3),
+p AS (SELECT a, b, k, k / (x.n + y.n - k) AS j FROM k JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE k / (x.n + y.n - k) >= 0.5),
+c AS (SELECT h, items, min(h) OVER (PARTITION BY items) AS rep FROM (SELECT h, list(t ORDER BY t) AS items FROM s GROUP BY 1))"""
+
 #: A letter, or a number that is no digit.
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
@@ -161,12 +180,10 @@ g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambd
 s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS x FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM g JOIN s USING (x)
 """,
-    "p3_found": """
-WITH s AS (SELECT DISTINCT author_handle AS h, content_tweet_id AS t FROM tweets WHERE is_retweet AND author_handle IS NOT NULL AND content_tweet_id IS NOT NULL),
-n AS (SELECT h, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3),
-p AS (SELECT x.h AS a, y.h AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.h < y.h GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT a AS account_a, b AS account_b FROM p JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE k / (x.n + y.n - k) >= 0.5
-""",
+    "p3_found": f"{_SETS} SELECT a AS account_a, b AS account_b FROM p",
+    "p3_pairs": f"{_SETS} SELECT a AS account_a, b AS account_b, k AS shared_retweets, round(j, 6) AS jaccard FROM p JOIN c x ON x.h = a JOIN c y ON y.h = b WHERE x.rep = a AND y.rep = b AND x.items <> y.items",
+    "p3_classes": f"""{_SETS}, l AS (SELECT h, count(*) AS links FROM (SELECT a AS h FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+SELECT h AS account_handle, rep AS class_handle, len(items) AS set_size, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (h)""",
     "p4_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT account_a AS x, account_b AS y FROM account_overlap WHERE account_a <> account_b

@@ -19,9 +19,11 @@ from tidewake.session import Stage
 
 #: Chance that a tree with two expected common children a node loses a pair (branching process).
 TREE_LOSS = 0.21
-#: A node that keeps more than this part of its parent's records isn't split further: its
-#: records are alike, and splitting would repeat them in every branch.
+#: A node that keeps more than this part of its parent's records is looked at: if its pairs share
+#: values as similar ones do (this part of the threshold on average), splitting would only
+#: repeat them in every branch, and most pairs are results.
 SPLITS_TO = 0.75
+ALIKE = 0.5
 #: Sets up to this size are verified as arrays; larger ones by joining their rows.
 ARRAY_LIMIT = 20_000
 
@@ -53,6 +55,17 @@ def equal_sets(df: DataFrame, record: str, item: str, stage: Stage) -> tuple[Dat
     return membership, rows
 
 
+def _alike_nodes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(node, alike)`` for rows ``(node, rec, n)``: whether the node's pairs share, on average, so
+    much of their values as ``ALIKE`` times the threshold asks for. From the values' counts
+    in the node, so no pair is made."""
+    values = members.select("node", "rec").join(sets.select("rec", "tok"), "rec").groupBy("node", "tok").agg(F.count(F.lit(1)).alias("c"))
+    shared = values.groupBy("node").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("shared"))
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.avg("n").alias("n"))
+    mean = F.col("shared") / (F.col("m") * (F.col("m") - 1))
+    return sizes.join(shared, "node").select("node", (mean >= F.lit(ALIKE * threshold) * (2 * F.col("n") - mean)).alias("alike"))
+
+
 def similar_sets(
     df: DataFrame,
     record: str,
@@ -61,7 +74,6 @@ def similar_sets(
     min_shared: int = 1,
     recall: float = 0.9999,
     node_size: int = 24,
-    max_depth: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """``(pairs, membership)`` for rows of (record, item); items of a record are a set.
 
@@ -72,10 +84,11 @@ def similar_sets(
     each pair is missed with a chance below ``1 - recall``.
 
     A record of size n shares at least ``max(min_shared, threshold * n)`` values with
-    any partner, so its paths may grow that long; where it stops it is compared with
-    every record of the node whose size allows the threshold. Nodes of records so alike
-    that branching doesn't part them are compared where they are. No node is ever
-    gathered into one task: nodes are compared by an equi-join, which spills and splits.
+    any partner, so its paths may grow that long, and no longer: records that share so
+    many values are similar; where it stops it is compared with every record of the
+    node whose size allows the threshold. A larger node is split however deep that goes,
+    unless its records are alike on average. No node is ever gathered into one task:
+    nodes are compared by an equi-join, which spills and splits.
     """
     stage = Stage(df.sparkSession)
     membership, rows = equal_sets(df, record, item, stage)
@@ -91,11 +104,16 @@ def similar_sets(
     )
     longest = F.greatest(F.lit(min_shared), F.ceil(F.col("n") * F.lit(threshold)))
     candidates: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         entered = stage.cut(level)
         crowds = entered.groupBy("node").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-        done = (F.col("crowd") <= node_size) | (F.col("crowd") > SPLITS_TO * F.col("was")) | (F.lit(depth) >= longest) | F.lit(depth == max_depth)
-        here = stage.cut(entered.join(crowds, "node").withColumn("stops", done).withColumn("was", F.col("crowd")).drop("crowd"))
+        counted = entered.join(crowds, "node")
+        unparted = counted.where((F.col("crowd") > node_size) & (F.col("crowd") > SPLITS_TO * F.col("was")))
+        alike = _alike_nodes(unparted, sets, threshold)
+        done = (F.col("crowd") <= node_size) | F.coalesce("alike", F.lit(False)) | (F.lit(depth) >= longest)
+        here = stage.cut(counted.join(alike, "node", "left").withColumn("stops", done).withColumn("was", F.col("crowd")).drop("crowd", "alike"))
         stage.drop(entered)
         x = here.where("stops").select("node", F.col("rec").alias("xr"), F.col("n").alias("xn"))
         y = here.select("node", F.col("rec").alias("yr"), F.col("n").alias("yn"), F.col("stops").alias("ys"))
@@ -109,7 +127,7 @@ def similar_sets(
         ).distinct()
         candidates = met if candidates is None else candidates.unionAll(met)
         onward = here.where("not stops")
-        if depth == max_depth or not onward.limit(1).count():
+        if not onward.limit(1).count():
             break
         level = (
             onward.join(sets.select("rec", "tok"), "rec")
@@ -152,3 +170,14 @@ def expanded(pairs: DataFrame, membership: DataFrame, min_shared: int = 1) -> Da
     same = membership.where(F.col("n") >= min_shared)
     inside = same.select("rep", F.col("record").alias("record_a")).join(same.select("rep", F.col("record").alias("record_b")), "rep").where("record_a < record_b")
     return across.unionAll(inside.select("record_a", "record_b"))
+
+
+def linked_classes(pairs: DataFrame, membership: DataFrame, min_shared: int = 1) -> DataFrame:
+    """``(record, rep, n, links)``: every record with its class, the size of its set and the
+    number of records it is similar to, those with an equal set included."""
+    sizes = membership.groupBy("rep").agg(F.count(F.lit(1)).alias("members"))
+    ends = pairs.select(F.col("rec_a").alias("rep"), F.col("rec_b").alias("other")).unionAll(pairs.select("rec_b", "rec_a"))
+    far = ends.join(sizes.withColumnsRenamed({"rep": "other", "members": "there"}), "other").groupBy("rep").agg(F.sum("there").alias("far"))
+    near = F.when(F.col("n") >= min_shared, F.col("members") - 1).otherwise(0)
+    rows = membership.join(sizes, "rep").join(far, "rep", "left")
+    return rows.select("record", "rep", "n", (near + F.coalesce("far", F.lit(0))).alias("links"))

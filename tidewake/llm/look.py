@@ -3,12 +3,13 @@
 DuckDB runs inside the Arrow partitions: an embedded SQL expression of
 ``nfc_normalize``, ``translate`` and regular expressions maps compatibility forms
 (width, ligatures, presentation forms), blanks, invisible characters and letters of
-other scripts that look like Latin ones. Letter case, accents and plain ASCII
+other scripts that look like Latin ones, and non-breaking and other hyphens. Letter case, accents and plain ASCII
 characters stay apart.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -18,15 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters that look like a Latin letter, by script.
+# Characters that look like a Latin letter or a hyphen, by script, each before what it looks like.
 LOOK_ALIKES = {
     "greek": "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ αa ιi κk νv οo ρp υu χx γy ϲc ϳj",
-    "cyrillic": "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԚQ ԜW ҮY ӀI аa еe кk оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw үy ӏl",
-    "armenian": "ՕO ՍU օo սu հh զq",
-    "latin": "ɑa ɡg",
+    "cyrillic": "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԚQ ԜW ҮY ӀI ѴV аa еe кk оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw үy ӏl ѵv",
+    "armenian": "ՕO ՍU ՏS ԼL օo սu հh զq ցg յj",
+    "latin": "ɑa ɡg ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs",
+    "cherokee": "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏒR ᏔW ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB",
+    "lisu": "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU",
+    "coptic": "ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc",
+    "others": "ჿo ዐO 𐐄O 𐐬o 𐑈s",
+    "hyphens": "‐- ‑- −-",
 }
 # Kinds of decomposition that keep the look (Unicode data file).
-KEPT_FORMS = ("<wide>", "<narrow>", "<compat>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>")
+KEPT_FORMS = ("<noBreak>", "<wide>", "<narrow>", "<compat>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>")
 # Characters that show nothing, besides the format characters (category Cf).
 INVISIBLE = "034F 115F 1160 17B4 17B5 180B-180F 3164 FE00-FE0F FFA0 E0100-E01EF 0000-0008 000E-001F 007F-009F"
 # Blanks, besides the space separators (category Zs).
@@ -56,7 +62,10 @@ def _classes() -> tuple[frozenset[int], frozenset[int]]:
 
 
 def _compatible(ch: str) -> str:
-    """Full decomposition by canonical and look-keeping steps only."""
+    """Full decomposition by canonical and look-keeping steps only; a listed look-alike stands for
+    what it looks like before that."""
+    if ord(ch) in _alike():
+        return _alike()[ord(ch)]
     how = unicodedata.decomposition(ch)
     if not how:
         return ch
@@ -75,12 +84,14 @@ def replacements() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     letters: dict[str, str] = {}
     single: dict[str, str] = {}
     several: dict[str, str] = {}
-    for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)):
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
         if code in hidden or code in blank:
             continue
         ch = chr(code)
         parts = _compatible(ch)
-        to = unicodedata.normalize("NFC", parts.translate(alike))
+        if parts == ch:
+            continue
+        to = unicodedata.normalize("NFC", parts)
         if to == ch or to == unicodedata.normalize("NFC", ch):
             continue
         if len(to) > 1:

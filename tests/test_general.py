@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewake.operators.asof import latest_not_newer
 from tidewake.operators.entity_features import by_entity, cumulative_store, widen, window_features, write_store
-from tidewake.operators.nested import BadJson, flat_tables, parse_triples, posts_of, shred_posts
+from tidewake.operators.nested import POST, BadJson, Shape, flat_tables, parse_triples, shaped, shaped_rows
 from tidewake.operators.ranking import numbered
-from tidewake.operators.snapshot_diff import _Merge, snapshot_changes
+from tidewake.operators.snapshot_diff import SnapshotStore, merge_sorted, snapshot_changes
 
 
 # ---------------------------------------------------------------- snapshots
@@ -58,10 +58,29 @@ def test_changes_of_nothing_and_of_one_snapshot(spark):
     assert snapshot_changes(df, "snap", "key", ["v"], "at").count() == 0
 
 
-def test_range_without_rows_of_a_snapshot():
-    b = pa.RecordBatch.from_pydict({"s": [1, 1, 3], "before": [None, None, 2], "after": [2, 2, None], "k": ["a", "b", "b"], "v0": [1.0, float("nan"), 2.0]})
-    got = [r for out in _Merge(["v"], "k")(iter([b])) for r in out.to_pylist()]
-    assert [(r["from_snapshot"], r["to_snapshot"], r["k"], r["change_kind"]) for r in got] == [(1, 2, "a", "removed"), (1, 2, "b", "removed"), (2, 3, "b", "added")]
+def test_store_takes_later_snapshots(spark, tmp_path):
+    rows = [(s, f"k{k:03d}", 1, (k * s) % 5, None if k % 7 else float("nan")) for s in (1, 2, 3) for k in range(s * 10, 300)]
+    df = spark.createDataFrame(rows, "snap int, key string, at int, v int, w double")
+    path = "file://" + str(tmp_path / "store")
+    SnapshotStore.create(df.where("snap < 3"), path, "snap", "key", ["v", "w"], "at", ranges=4)
+    store = SnapshotStore.open(spark, path)
+    assert len(store.bounds) == 3
+    store.add(df.where("snap = 3"))
+    got = {tuple(r) for r in store.changes().withColumn("changed_fields", F.array_join("changed_fields", ",")).collect()}
+    same = lambda x: None if x is None or x != x else x
+    assert got == brute_changes([(*r[:4], same(r[4])) for r in rows])
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_streamed_merge_at_any_batch_size(size):
+    rng = random.Random(size)
+    sides = [{k: rng.choice([None, 1.0, float("nan")]) for k in [None, *range(40)] if rng.random() < 0.7} for _ in range(2)]
+    tables = [pa.table({"k": pa.array(list(d), pa.int64()), "v0": pa.array(list(d.values()), pa.float64())}) for d in sides]
+    parts = [iter([t.slice(i, size) for i in range(0, t.num_rows, size)]) for t in tables]
+    got = {(k, kind, tuple(f)) for keys, kinds, fields in merge_sorted(*parts, ("v",)) for k, kind, f in zip(keys.to_pylist(), kinds, fields)}
+    old, new = ({k: str(v) for k, v in d.items()} for d in sides)
+    want = {(k, "removed", ()) for k in old.keys() - new.keys()} | {(k, "added", ()) for k in new.keys() - old.keys()} | {(k, "changed", ("v",)) for k in old.keys() & new.keys() if old[k] != new[k]}
+    assert got == want
 
 
 # ---------------------------------------------------------------- nested records
@@ -123,10 +142,18 @@ def test_posts_in_posts(spark):
     top = raw("1", "out", [{"text": "kept out"}], note=[], quoted={"x": [{"y": inner}, legacy]})
     rows = [(1, json.dumps(top)), (2, None), (3, ""), (4, "{broken"), (5, "[]"), (6, json.dumps([raw("9", "", [])])), (7, json.dumps(raw("5", "z", "no list")))]
     df = spark.createDataFrame(rows, "id bigint, doc string").withColumn("post_id", F.lit("clash"))
-    got = {tuple(r) for r in shred_posts(df, "id", "doc").collect()}
+    rows = shaped_rows(df, "id", "doc", POST, "post_id", "hashtag").select("id", "post_id", "parent_post_id", "author_handle", "pos", "hashtag")
+    got = {tuple(r) for r in rows.collect()}
     assert got == {(1, "1", "", "out", -1, ""), (1, "77", "1", "in", 0, "a"), (1, "77", "1", "in", 1, "b"), (1, "88", "1", "old", -1, ""), (7, "5", "", "z", -1, "")}
-    assert shred_posts(df.limit(0), "id", "doc").count() == 0
-    assert posts_of([]) == []
+    assert shaped_rows(df.limit(0), "id", "doc", POST, "post_id", "hashtag").count() == 0
+    assert shaped([], POST) == []
+
+
+def test_objects_of_another_shape():
+    order = Shape(fields={"no": (("no",), ("meta", "number"))}, kinds={"no": ("int", "str")}, items=((("lines",), "sku"),))
+    doc = {"no": 7, "lines": [{"sku": "a", "sub": {"meta": {"number": "8"}, "lines": [{"sku": "b"}, {"sku": None}]}}, {"no": ""}]}
+    got = [(f["no"], above, items) for f, above, _, items in shaped(parse_triples(json.dumps(doc)), order)]
+    assert got == [("7", None, ["a"]), ("8", (), ["b"])]
 
 
 def test_flat_tables(spark):

@@ -1,16 +1,18 @@
 """Deeply nested JSON records into related flat tables.
 
 A hand-driven, non-recursive event parser turns every record into path-value-ordinal
-triples. Triples are grouped by their repeated ancestor (an array element, or for
-``shred_posts`` the nearest enclosing post) and each group is pivoted into one table
-whose rows carry the link to their parent row. All triples of a record are made in
-one task, so grouping a record needs no shuffle.
+triples. Triples are grouped by their repeated ancestor and every group is pivoted into
+one row that carries the link to its parent's row: ``nested_rows`` takes array elements
+as ancestors, for any record; ``shaped_rows`` the objects that have the fields of a
+``Shape``, at whatever depth they are. All triples of a record are made in one task, so
+grouping a record needs no shuffle, and one parse serves all tables.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.session import Stage
+
 _SPACE = re.compile(r"[ \t\n\r]*").match
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?").match
 _WORDS = {"t": ("true", "bool"), "f": ("false", "bool"), "n": ("null", "null"), "N": ("NaN", "float"), "I": ("Infinity", "float")}
@@ -128,16 +132,6 @@ def _key(text: str, pos: int, path: list, top: list, first: int) -> int:
 
 # ---------------------------------------------------------------- generic tables
 
-TRIPLES = T.StructType(
-    [
-        T.StructField("group_path", T.StringType()),
-        T.StructField("ordinals", T.ArrayType(T.IntegerType())),
-        T.StructField("field", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
 
 def _split(path: Path) -> tuple[str, list[int], str]:
     """A path as (path of its repeated ancestor with [] for ordinals, ordinals, rest)."""
@@ -150,32 +144,41 @@ def _escape(key: str) -> str:
     return re.sub(r"[.\[\]\\$]", lambda m: "\\" + m[0], key)
 
 
-def json_triples(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """``(<id>, group_path, ordinals, field, type, value)``, one row per leaf value.
+def nested_rows(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(<id>, group_path, ordinals, parent_ordinals, fields)``, one row per repeated ancestor.
 
-    ``group_path`` is the path of the repeated ancestor (``$`` for the record itself,
-    ``$.a.b[]`` for elements of that array), ``ordinals`` the 0-based positions that
-    lead to it and ``field`` the rest of the path. Leaves are scalars and empty
-    containers. Null, empty and unparsable texts give no rows.
+    ``group_path`` is the path of the ancestor (``$`` for the record itself, ``$.a.b[]`` for
+    elements of that array), ``ordinals`` the 0-based positions that lead to it (its key
+    within the record and group), ``parent_ordinals`` those of the enclosing group's row
+    (null at the top) and ``fields`` the values by the rest of their paths, as text; null
+    values and containers are null. An element that is an object or a list has no value of
+    its own. Null, empty and unparsable texts give no rows.
     """
     id_type = df.schema[id_col].dataType
+    pairs = pa.map_(pa.string(), pa.string())
+    schema = T.StructType(
+        [T.StructField(id_col, id_type), T.StructField("group_path", T.StringType()), T.StructField("ordinals", T.ArrayType(T.IntegerType())), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(4)]
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                groups: dict[tuple, dict[str, str | None]] = {}
                 for path, kind, value in _parsed(text):
-                    if kind in ("object", "array") and path and value is None:
-                        continue
-                    for c, x in zip(cols, (rid, *_split(path), kind, value)):
+                    group, ordinals, field = _split(path)
+                    row = groups.setdefault((group, tuple(ordinals)), {})
+                    if field or kind not in ("object", "array"):
+                        row[field or "value"] = value
+                for (group, ordinals), row in groups.items():
+                    for c, x in zip(cols, (rid, group, list(ordinals), list(row.items()))):
                         c.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32())), *[pa.array(c, pa.string()) for c in cols[3:]]],
-                [id_col, *TRIPLES.names],
+                [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pairs)], [id_col, "group_path", "ordinals", "fields"]
             )
 
-    schema = T.StructType([T.StructField(id_col, id_type), *TRIPLES.fields])
-    return df.select(id_col, json_col).mapInArrow(run, schema)
+    parent = F.when(F.size("ordinals") > 0, F.slice("ordinals", 1, F.size("ordinals") - 1))
+    return df.select(id_col, json_col).mapInArrow(run, schema).select(id_col, "group_path", "ordinals", parent.alias("parent_ordinals"), "fields")
 
 
 def _parsed(text: str | None) -> list[Triple]:
@@ -188,107 +191,118 @@ def _parsed(text: str | None) -> list[Triple]:
 
 
 def flat_tables(df: DataFrame, id_col: str, json_col: str) -> dict[str, DataFrame]:
-    """One flat table per repeated ancestor: ``{group_path: table}``.
+    """One flat table per repeated ancestor: ``{group_path: table}``, from one parse.
 
     Columns: the record id, ``ordinals`` (row key within the record and group),
     ``parent_ordinals`` (row key of the enclosing group's row; null at the top) and one
-    string column per leaf path. The set of groups and fields is a schema, read once
-    by a distinct over the triples; values never reach the driver.
+    string column per leaf path (``value`` for elements that are values). The set of groups and fields is a schema, read
+    once by a distinct over the rows; values never reach the driver.
     """
-    triples = json_triples(df, id_col, json_col).where("not (type = 'object' and field = '')")
+    rows = Stage(df.sparkSession).cut(nested_rows(df, id_col, json_col))
+    names = rows.select("group_path", F.explode_outer(F.map_keys("fields")).alias("field")).distinct()
     fields: dict[str, list[str]] = {}
-    for group, field in sorted(map(tuple, triples.select("group_path", "field").distinct().collect())):
-        fields.setdefault(group, []).append(field)
-    out = {}
-    for group, names in fields.items():
-        cells = [F.max(F.when(F.col("field") == n, F.col("value"))).alias(n or "value") for n in names]
-        rows = triples.where(F.col("group_path") == group).groupBy(id_col, "ordinals").agg(*cells)
-        parent = F.when(F.size("ordinals") > 0, F.slice("ordinals", 1, F.size("ordinals") - 1))
-        out[group] = rows.select(id_col, "ordinals", parent.alias("parent_ordinals"), *[F.col(f"`{n or 'value'}`") for n in names])
-    return out
+    for group, field in sorted(map(tuple, names.collect()), key=lambda x: (x[0], x[1] or "")):
+        fields.setdefault(group, []).extend([field] if field is not None else [])
+    return {
+        group: rows.where(F.col("group_path") == group).select(id_col, "ordinals", "parent_ordinals", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in leaves])
+        for group, leaves in fields.items()
+    }
+
+
+# ---------------------------------------------------------------- objects of a shape
+
 
+@dataclass(frozen=True)
+class Shape:
+    """What makes an object a row: ``fields`` it must all have, each at the first of some relative
+    paths where a filled value of the kinds allowed is, and lists of ``items``, of which
+    the first that is a list counts, each with its elements' field."""
+
+    fields: dict[str, tuple[Path, ...]]
+    kinds: dict[str, tuple[str, ...]]
+    items: tuple[tuple[Path, str], ...]
+
+    def ends(self) -> tuple[dict, dict]:
+        """By the last key of a path, the relative paths (and what they fill) that may end there: of fields and lists, and of elements."""
+        own: dict[str, list] = {}
+        for name, paths in self.fields.items():
+            for i, path in enumerate(paths):
+                own.setdefault(path[-1], []).append((path, (name, i)))
+        inside: dict[str, list] = {}
+        for i, (path, field) in enumerate(self.items):
+            own.setdefault(path[-1], []).append((path, ("items", i)))
+            inside.setdefault(field, []).append((path, i))
+        return own, inside
 
-# ---------------------------------------------------------------- posts in posts
 
 _AUTHOR = ("core", "user_results", "result")
-_TAGS = ("legacy", "entities", "hashtags")
-_LONG_TAGS = ("note_tweet", "note_tweet_results", "result", "entity_set", "hashtags")
-#: Relative leaf paths of a post and the field each one fills.
-_FIELDS = {
-    (*_AUTHOR, "core", "screen_name"): "author_core",
-    (*_AUTHOR, "legacy", "screen_name"): "author_legacy",
-    ("rest_id",): "id_rest",
-    ("legacy", "id_str"): "id_legacy",
-    _TAGS: "tags",
-    _LONG_TAGS: "long_tags",
-}
-#: By the last key of a path, the relative paths that may end there.
-_ENDS = {end: [(p, f) for p, f in _FIELDS.items() if p[-1] == end] for end in {p[-1] for p in _FIELDS}}
-_POST_ROW = T.StructType(
-    [
-        T.StructField("post_id", T.StringType()),
-        T.StructField("parent_post_id", T.StringType()),
-        T.StructField("author_handle", T.StringType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("hashtag", T.StringType()),
-    ]
+#: A post: an author's handle, an id, and tags.
+POST = Shape(
+    fields={"author_handle": ((*_AUTHOR, "core", "screen_name"), (*_AUTHOR, "legacy", "screen_name")), "post_id": (("rest_id",), ("legacy", "id_str"))},
+    kinds={"author_handle": ("str",), "post_id": ("str", "int", "float")},
+    items=((("note_tweet", "note_tweet_results", "result", "entity_set", "hashtags"), "text"), (("legacy", "entities", "hashtags"), "text")),
 )
 
 
-def posts_of(triples: list[Triple]) -> list[tuple[str, str, str, list[str]]]:
-    """(id, parent id or '', author, kept tags) of every post among a record's triples.
+def shaped(triples: list[Triple], shape: Shape, ends: tuple[dict, dict] | None = None) -> list[tuple[dict[str, str], Path | None, Path, list[str]]]:
+    """(fields, path of the nearest enclosing one or None, own path, items) of every object of the
+    shape among a record's triples.
 
-    Groups the triples by the object they would describe as a post, pivots each
-    group into fields, keeps the groups with an author and an id, and links each to
-    the nearest enclosing kept group.
+    Triples are grouped by the object they would be a field of; each group is pivoted into the
+    shape's fields; groups that have all of them are rows, linked to the nearest enclosing one.
     """
+    own, inside = ends or shape.ends()
     groups: dict[Path, dict] = {}
     for path, kind, value in triples:
         if not path:
             continue
-        if path[-1] == "text" and len(path) > 4 and isinstance(path[-2], int) and path[-3] == "hashtags":
-            for rel, field in _ENDS["hashtags"]:
-                n = len(rel) + 2
-                if path[-n:-2] == rel and kind == "str" and value:
-                    groups.setdefault(path[:-n], {}).setdefault(field + "_text", []).append((path[-2], value))
-            continue
-        for rel, field in _ENDS.get(path[-1], ()):
+        last = path[-1]
+        for rel, i in inside.get(last, ()):
+            n = len(rel) + 2
+            if len(path) >= n and path[-n:-2] == rel and isinstance(path[-2], int) and kind == "str" and value:
+                groups.setdefault(path[:-n], {}).setdefault(("inside", i), []).append((path[-2], value))
+        for rel, what in own.get(last, ()):
             n = len(rel)
             if path[-n:] == rel:
-                groups.setdefault(path[:-n], {})[field] = (kind, value)
-    kept: dict[Path, tuple[str, str, str, list[str]]] = {}
+                groups.setdefault(path[:-n], {})[what] = (kind, value)
+    kept: dict[Path, tuple] = {}
     for path, got in sorted(groups.items(), key=lambda x: len(x[0])):
-        author = next((v for k, v in (got.get("author_core", ("", "")), got.get("author_legacy", ("", ""))) if k == "str" and v), None)
-        ident = next((v for k, v in (got.get("id_rest", ("", "")), got.get("id_legacy", ("", ""))) if k in ("str", "int", "float") and v and v != "0"), None)
-        if author is None or ident is None:
+        fields = {}
+        for name, paths in shape.fields.items():
+            cells = (got.get((name, i), ("", None)) for i in range(len(paths)))
+            fields[name] = next((v for k, v in cells if k in shape.kinds[name] and v and (k == "str" or v != "0")), None)
+        if any(v is None for v in fields.values()):
             continue
-        source = "long_tags" if got.get("long_tags", ("",))[0] == "array" else "tags"
-        tags = [t for _, t in sorted(got.get(source + "_text", ()), key=lambda x: x[0])] if got.get(source, ("",))[0] == "array" else []
-        parent = next((kept[path[:i]][0] for i in range(len(path) - 1, -1, -1) if path[:i] in kept), "")
-        kept[path] = (ident, parent, author, tags)
+        listed = next((i for i in range(len(shape.items)) if got.get(("items", i), ("",))[0] == "array"), None)
+        items = [t for _, t in sorted(got.get(("inside", listed), ()), key=lambda x: x[0])]
+        above = next((path[:i] for i in range(len(path) - 1, -1, -1) if path[:i] in kept), None)
+        kept[path] = (fields, above, path, items)
     return list(kept.values())
 
 
-def shred_posts(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """``(<id>, post_id, parent_post_id, author_handle, pos, hashtag)``: posts at any depth.
+def shaped_rows(df: DataFrame, id_col: str, json_col: str, shape: Shape, key: str, item: str) -> DataFrame:
+    """``(<id>, <fields>, parent_<key>, pos, <item>)``: objects of a shape at any depth.
 
-    A post is an object with an author handle (``core.user_results.result`` and there
-    ``core`` or ``legacy``) and an id (``rest_id``, else ``legacy.id_str``; numbers as
-    text). Tags are the long post's list if it is a list, even an empty one, else the
-    ordinary one; entries without a non-empty text are skipped. One row per kept tag
-    with its 0-based position among the kept ones, or one row with -1 and ''. Null, empty and
-    unparsable texts give nothing; repeated rows give repeated results.
+    One row per item with its 0-based position among the kept ones, or one row with -1
+    and ''; ``parent_<key>`` is the nearest enclosing object's ``key``, '' at the top. Null,
+    empty and unparsable texts give nothing; repeated rows give repeated results.
     """
-    id_type = df.schema[id_col].dataType
+    names = list(shape.fields)
+    ends = shape.ends()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            cols: list[list] = [[] for _ in range(len(names) + 4)]
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for ident, parent, author, tags in posts_of(_parsed(text)):
-                    rows.extend((rid, ident, parent, author, i, t) for i, t in (enumerate(tags) if tags else ((-1, ""),)))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [id_col, *_POST_ROW.names])
-
-    return df.select(id_col, json_col).mapInArrow(run, T.StructType([T.StructField(id_col, id_type), *_POST_ROW.fields]))
+                found = shaped(_parsed(text), shape, ends)
+                keys = {path: fields[key] for fields, _, path, _ in found}
+                for fields, above, _, items in found:
+                    for pos, value in enumerate(items) if items else ((-1, ""),):
+                        for c, x in zip(cols, (rid, *fields.values(), "" if above is None else keys[above], pos, value)):
+                            c.append(x)
+            types = [batch.schema.field(0).type, *[pa.string()] * (len(names) + 1), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [id_col, *names, f"parent_{key}", "pos", item])
+
+    text = [T.StructField(n, T.StringType()) for n in (*names, f"parent_{key}")]
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *text, T.StructField("pos", T.IntegerType()), T.StructField(item, T.StringType())])
+    return df.select(id_col, json_col).mapInArrow(run, schema)

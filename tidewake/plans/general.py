@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.operators.entity_features import by_entity, cumulative_store, measures, widen, window_features, write_store
-from tidewake.operators.nested import shred_posts
+from tidewake.operators.nested import POST, nested_rows, shaped_rows
 from tidewake.operators.snapshot_diff import snapshot_changes
 from tidewake.session import Stage
 
@@ -105,11 +105,21 @@ def p5_entity_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shred_posts(read(spark, sf, "raw_posts"), "raw_id", "payload")
+    rows = shaped_rows(read(spark, sf, "raw_posts"), "raw_id", "payload", POST, "post_id", "hashtag")
     return rows.withColumnsRenamed({"post_id": "tweet_id", "parent_post_id": "parent_tweet_id"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changed_fields, p5_entity_features, p5_type_features, p7_found)}
+def p7_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the flat tables of every repeated ancestor: table, row and parent key and the fields
+    that have a value, as text."""
+    rows = nested_rows(read(spark, sf, "raw_posts"), "raw_id", "payload")
+    key = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
+    filled = F.filter(F.map_entries("fields"), lambda e: e["value"].isNotNull())
+    text = F.array_join(F.array_sort(F.transform(filled, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return rows.select("raw_id", F.col("group_path").alias("table_path"), key("ordinals").alias("row_key"), key("parent_ordinals").alias("parent_key"), text.alias("fields"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_changed_fields, p5_entity_features, p5_type_features, p7_found, p7_tables)}
 
 _P2 = """
 WITH latest AS (
@@ -177,8 +187,20 @@ SELECT raw_id, id AS tweet_id, coalesce(parent, '') AS parent_tweet_id, author A
 FROM kept LEFT JOIN linked USING (raw_id, fullkey), unnest(range(greatest(len(k), 1))) AS u(i)
 """
 
+_P7_TABLES = """
+WITH good AS MATERIALIZED (SELECT raw_id, payload FROM raw_posts WHERE payload IS NOT NULL AND json_valid(payload)),
+nodes AS (SELECT raw_id, regexp_replace(j.fullkey, '"([A-Za-z0-9_]+)"', '\\1', 'g') AS p, j.type AS t, j.value ->> '$' AS v FROM good, json_tree(payload) j),
+split AS (SELECT raw_id, p, t, v, regexp_extract(p, '^(.*\\])[^\\]]*$', 1) AS head FROM nodes),
+named AS (SELECT raw_id, CASE WHEN head = '' THEN '$' ELSE regexp_replace(head, '\\[\\d+\\]', '[]', 'g') END AS table_path, regexp_extract_all(head, '\\[(\\d+)\\]', 1) AS ords,
+  ltrim(CASE WHEN head = '' THEN substr(p, 2) ELSE substr(p, length(head) + 1) END, '.') AS f, t, v FROM split)
+SELECT raw_id, table_path, array_to_string(ords, '.') AS row_key, CASE WHEN len(ords) > 0 THEN array_to_string(ords[:-2], '.') END AS parent_key,
+  coalesce(string_agg(CASE WHEN f = '' THEN 'value' ELSE f END || '=' || v, '|' ORDER BY CASE WHEN f = '' THEN 'value' ELSE f END || '=' || v) FILTER (t NOT IN ('OBJECT', 'ARRAY', 'NULL')), '') AS fields
+FROM named GROUP BY 1, 2, 3, 4
+"""
+
 ORACLE = {
     "p7_found": _P7,
+    "p7_tables": _P7_TABLES,
     "p2_found": _P2.format(extra=""),
     "p2_changed_fields": _P2.format(extra=f", concat_ws(',', {_DIFFER}) AS changed_fields"),
     "p5_entity_features": _P5,

@@ -107,16 +107,17 @@ def test_text_functions(spark):
 
 def test_batches(spark, raw_dir, tmp_path):
     clean = tmp_path / "clean"
-    assert [(p.exporter.snapshot_id, p.members.snapshot_id, p.extra and p.extra.snapshot_id) for p in curation.plans(raw_dir)] == [(150, 100, None), (250, 200, 240)]
+    planned = [b["sources"] for b in curation.wanted(spark, raw_dir)]
+    assert [tuple(s[k] and s[k]["snapshot_id"] for k in curation.KINDS) for s in planned] == [(150, 100, None), (250, 200, 240)]
     built, index = curation.build(spark, raw_dir, clean)
     assert [b.status for b in built] == ["built", "built"] and json.loads(index.read_text())["latest_batch_id"] == built[1].batch_id == "batch_exporter-250__members-200"
     assert {b.status for b in curation.build(spark, raw_dir, clean)[0]} == {"skipped"}
     (raw_dir / "twitter-ListMembers-200.json").write_text(json.dumps([member_item("src"), member_item("new")]))
     assert [b.status for b in curation.build(spark, raw_dir, clean)[0]] == ["skipped", "built"]
     with pytest.raises(ValueError):
-        curation.resolve(clean, "none")
+        curation.resolve(spark, clean, "none")
     with pytest.raises(FileNotFoundError):
-        curation.resolve(tmp_path)
+        curation.resolve(spark, tmp_path)
     # the clean batch analyses to what its raw files do
     files = discovery.dataset(raw_dir, raw_dir / "twitter-ListMembers-200.json", raw_dir / "twitter-web-exporter-250.json", raw_dir / "manual_member_handles_240.txt")
     a = pipeline.run_raw(spark, raw_dir, tmp_path / "a", files["members"], files["exporter"], files["extra_members"], with_ml=False, min_shared=1)

@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         if a.auto_build:
             curation.build(spark, a.raw_dir, a.clean_dir, a.extra_members_file, a.force_clean)
-        batch = curation.resolve(a.clean_dir, a.batch_id)
+        batch = curation.resolve(spark, a.clean_dir, a.batch_id)
         folder = a.output_dir / batch["batch_id"] if a.batch_subdir else a.output_dir
         out = pipeline.run_clean(spark, a.clean_dir, folder, batch["batch_id"], **options)
     for name, where in out.items():

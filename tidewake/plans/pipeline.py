@@ -88,6 +88,6 @@ def run_raw(spark: SparkSession, folder: Path, output: Path, members: Path | Non
 
 
 def run_clean(spark: SparkSession, clean: Path, output: Path, batch_id: str | None = None, **options) -> dict[str, Path]:
-    batch = curation.resolve(clean, batch_id)
+    batch = curation.resolve(spark, clean, batch_id)
     posts = posts_clean_csv(spark, str(batch["tweets"]))
     return write_outputs(analyse(posts, members_clean_csv(spark, str(batch["members"])), **options), output)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.operators.ranking import numbered
@@ -308,6 +308,17 @@ def isolation_scores(x: np.ndarray, forest: list, rows: int) -> np.ndarray:
     return 2.0 ** (-(total / len(forest)) / max(_mean_path(rows), 1e-12))
 
 
+RUN = (
+    "status string, sample_count bigint, input_feature_count bigint, cluster_count bigint, cluster_selection string, cluster_model string, anomaly_model string, "
+    "embedding_model string, feature_names array<string>, note string"
+)
+
+
+def run_record(spark: SparkSession, status: str, samples: int, note: str | None = None, features: tuple[str, ...] = (), selection: str = "disabled") -> DataFrame:
+    """The record of a run that fitted nothing."""
+    return spark.createDataFrame([(status, samples, len(features), 0, selection, "none", "none", "none", list(features), note)], RUN)
+
+
 def run_model(matrix: DataFrame, clusters: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(run record, accounts, cluster summaries) of the feature matrix.
 
@@ -317,16 +328,11 @@ def run_model(matrix: DataFrame, clusters: int | None = None, seed: int = 42) ->
     loading. An empty matrix gives an empty result and the status ``skipped_no_samples``.
     """
     spark = matrix.sparkSession
-    run_schema = (
-        "status string, sample_count bigint, input_feature_count bigint, cluster_count bigint, cluster_selection string, cluster_model string, anomaly_model string, "
-        "embedding_model string, feature_names array<string>, note string"
-    )
     n = matrix.count()
     accounts_schema = "account_handle string, cluster_id bigint, anomaly_score double, centroid_distance double, embedding_x double, embedding_y double"
     if n == 0:
-        run = [("skipped_no_samples", 0, len(FEATURES), 0, "none", "none", "none", "none", list(FEATURES), None)]
         scored = spark.createDataFrame([], accounts_schema)
-        return spark.createDataFrame(run, run_schema), _accounts(scored, matrix), _summaries(_accounts(scored, matrix))
+        return run_record(spark, "skipped_no_samples", 0, features=FEATURES, selection="none"), _accounts(scored, matrix), _summaries(_accounts(scored, matrix))
     vectors = Stage(spark).cut(_vectors(standardised(model_features(matrix))))
     k, how, centres = choose_clusters(vectors, n, clusters, seed)
     forest = None
@@ -355,7 +361,7 @@ def run_model(matrix: DataFrame, clusters: int | None = None, seed: int = 42) ->
     accounts = _accounts(scored, matrix)
     note = None if forest else "fallback_constant"
     run = [("ready", n, len(FEATURES), k, how, "kmeans", "isolation_forest" if forest else "fallback_constant", "pca", list(FEATURES), note)]
-    return spark.createDataFrame(run, run_schema), accounts, _summaries(accounts)
+    return spark.createDataFrame(run, RUN), accounts, _summaries(accounts)
 
 
 def _accounts(scored: DataFrame, matrix: DataFrame) -> DataFrame:

@@ -52,19 +52,20 @@ def analyse(posts: DataFrame, members: DataFrame, min_shared: int = 2, with_ml:
         "account_roles": roles,
         "amplified_targets": prop.amplified_targets(posts, casc, who, sources, members, nodes, roles),
         "cohorts": cohorts,
-        "cohort_members": in_cohort,
+        "cohort_members": cohorts.select("cohort_id", F.explode("members").alias("member_handle"), "cohort_score", F.col("member_count").alias("cohort_size")),
+        "missing_members": cascade.missing_members(posts, members),
         "cascade_propagation": prop.propagation(posts, casc, members, nodes, roles, by_cascade),
         "cascade_spread_paths": prop.spread_paths(prop.steps(posts, casc), casc, nodes, by_cascade),
         "first_retweeter_profiles": prop.first_profiles(casc, roles, by_account, nodes),
         "ml_feature_matrix": matrix,
     }
     if with_ml:
-        out |= dict(zip(("ml_run", "ml_accounts", "ml_clusters"), ml.run_model(matrix, clusters, seed)))
-    return out
+        return out | dict(zip(("ml_run", "ml_accounts", "ml_clusters"), ml.run_model(matrix, clusters, seed)))
+    return out | {"ml_run": ml.run_record(posts.sparkSession, "skipped_disabled", matrix.count(), note="disabled by the caller")}
 
 
-def write_outputs(tables: dict[str, DataFrame], folder: Path) -> dict[str, Path]:
-    """Every table as CSV (spread paths as JSON lines), a summary and a report."""
+def write_outputs(tables: dict[str, DataFrame], folder: Path, inputs: dict | None = None) -> dict[str, Path]:
+    """Every table as CSV (spread paths as JSON lines), a summary (with the model's run record) and a report."""
     folder.mkdir(parents=True, exist_ok=True)
     out = {}
     for name, df in tables.items():
@@ -76,7 +77,7 @@ def write_outputs(tables: dict[str, DataFrame], folder: Path) -> dict[str, Path]
         else:
             write_csv(df, str(out[name]), name)
     stats = {k: v.isoformat() if isinstance(v, dt.datetime) else v for k, v in tables["dataset_stats"].first().asDict().items()}
-    report.write(tables, stats, folder)
+    report.write(tables, stats, folder, inputs or {})
     return out | {"summary": folder / "summary.json", "report": folder / "report.md"}
 
 
@@ -84,7 +85,7 @@ def run_raw(spark: SparkSession, folder: Path, output: Path, members: Path | Non
     files = discovery.dataset(folder, members, exporter, extra)
     more = extra_handles(spark, str(files["extra_members"])) if files["extra_members"] else None
     posts = normalised_posts(export_rows(spark, str(files["exporter"])))
-    return write_outputs(analyse(posts, read_members(spark, str(files["members"]), more), **options), output)
+    return write_outputs(analyse(posts, read_members(spark, str(files["members"]), more), **options), output, {k: str(v) if v else None for k, v in files.items()})
 
 
 def run_clean(spark: SparkSession, clean: Path, output: Path, batch_id: str | None = None, **options) -> dict[str, Path]:

@@ -25,7 +25,8 @@ ORDERS = {
     "ml_accounts": "anomaly_rank cluster_id account_handle",
     "ml_clusters": "-account_count cluster_id",
     "normalized_tweets": "row_id",
-    "cohort_members": "cohort_id account_handle",
+    "cohort_members": "cohort_id member_handle",
+    "missing_members": "account_handle",
     "account_roles": "role_priority -role_confidence account_handle",
 }
 
@@ -51,7 +52,8 @@ def as_cells(df: DataFrame, lists_as_json: bool = False) -> DataFrame:
         if isinstance(f.dataType, T.ArrayType):
             c = F.to_json(c) if lists_as_json else F.array_join(c.cast("array<string>"), "|")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+            at = c.cast("timestamp")  # ISO, with a fraction where there is one, in the session's zone
+            c = F.when(F.unix_micros(at) % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
         elif isinstance(f.dataType, T.BooleanType):
             c = F.initcap(c.cast("string"))
         return c.cast("string").alias(f.name)

@@ -45,12 +45,13 @@ def sources(folder: Path, kind: str) -> list[Source]:
 
 
 def dataset(folder: Path, members: Path | None = None, exporter: Path | None = None, extra: Path | None = None) -> dict[str, Path | None]:
-    """The files to analyse: the ones named, else the newest by time of change."""
+    """The files to analyse: the ones named, else the newest by time of change; a handle list
+    only if it is named."""
 
     def newest(kind: str) -> Path | None:
         return max((p for pattern in PATTERNS[kind] for p in folder.glob(pattern)), key=lambda p: (p.stat().st_mtime_ns, p.name), default=None)
 
-    out = {"members": members or newest("members"), "exporter": exporter or newest("exporter"), "extra_members": extra or newest("extra_members")}
+    out = {"members": members or newest("members"), "exporter": exporter or newest("exporter"), "extra_members": extra}
     for kind in ("members", "exporter"):
         if out[kind] is None or not Path(out[kind]).exists():
             raise FileNotFoundError(f"no {kind} file in {folder}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +58,20 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
 
 
+def _exploded(df: DataFrame, column: str) -> DataFrame:
+    """``(pos, value)`` of the elements of a variant that is a list, through a view of its own name."""
+    name = f"exploded_{uuid.uuid4().hex}"
+    df.createTempView(name)
+    out = df.sparkSession.sql(f"select x.pos, x.value from {name}, lateral variant_explode({column}) as x")
+    df.sparkSession.catalog.dropTempView(name)
+    return out
+
+
 def members_json(spark: SparkSession, path: str) -> DataFrame:
     """A member JSON export: a list, or a list under users, members, items or data. Items
     that aren't objects are left out; another shape is an error."""
     items = _documents(spark, path).select(_list_at(F.col("v"), ("users", "members", "items", "data"), "a member export").alias("items"))
-    items.createOrReplaceTempView("__member_items")
-    rows = spark.sql("select x.value as item from __member_items, lateral variant_explode(items) as x").where(F.schema_of_variant("item").startswith("OBJECT"))
+    rows = _exploded(items, "items").withColumnRenamed("value", "item").where(F.schema_of_variant("item").startswith("OBJECT"))
     get = lambda c: F.try_variant_get("item", f"$.{c}", "string")
     meta = lambda p: F.try_variant_get("item", "$.metadata" + p[1:], "string")
     return rows.select(*_member(get, meta))
@@ -80,28 +90,29 @@ def read_members(spark: SparkSession, path: str, extra: DataFrame | None = None)
 
 
 def extra_handles(spark: SparkSession, path: str) -> DataFrame:
-    """``(value)``: raw handles of a text, JSON or CSV file."""
+    """``(value, at)``: raw handles of a text, JSON or CSV file, with their order."""
     name = path.rsplit("/", 1)[-1].lower()
     if name.endswith(".json"):
         items = _documents(spark, path).select(_list_at(F.col("v"), ("handles", "members", "accounts", "urls"), "a handle list").alias("items"))
-        items.createOrReplaceTempView("__handle_items")
-        return spark.sql("select cast(x.value as string) as value from __handle_items, lateral variant_explode(items) as x")
+        return _exploded(items, "items").select(F.col("value").cast("string").alias("value"), F.col("pos").cast("bigint").alias("at"))
     if name.endswith(".csv"):
         rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
         if not rows.columns:
-            return spark.createDataFrame([], "value string")
+            return spark.createDataFrame([], "value string, at bigint")
         rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns})
         column = next((c for c in ("screen_name", "handle", "username", "url") if c in rows.columns), rows.columns[0])
-        return rows.select(F.col(f"`{column}`").alias("value"))
+        return rows.select(F.col(f"`{column}`").alias("value"), F.monotonically_increasing_id().alias("at"))
     if name.endswith(".txt") or "." not in name:
-        return spark.read.text(path)
+        return spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     raise ValueError(f"not a handle list: {path}")
 
 
 def handles(values: DataFrame) -> DataFrame:
-    """``(handle)``: cleaned, one spelling per case-blind handle (the smallest one)."""
-    clean = values.select(tx.clean_handle(F.col("value")).alias("handle")).where("handle is not null")
-    return clean.groupBy(F.lower("handle").alias("folded")).agg(F.min("handle").alias("handle")).select("handle")
+    """``(handle)``: cleaned, one spelling per case-blind handle: the first by ``at``, where there
+    is such a column, else the smallest."""
+    at = F.col("at") if "at" in values.columns else F.lit(0)
+    clean = values.select(tx.clean_handle(F.col("value")).alias("handle"), at.alias("at")).where("handle is not null")
+    return clean.groupBy(F.lower("handle").alias("folded")).agg(F.min(F.struct("at", "handle")).alias("h")).select("h.handle")
 
 
 def with_placeholders(members: DataFrame, values: DataFrame) -> DataFrame:

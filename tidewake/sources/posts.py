@@ -14,25 +14,28 @@ BOOST = "$.legacy.retweeted_status_result"
 NOTE = "$.note_tweet.note_tweet_results.result"
 
 
+#: Row ids of a bundle's rows start at its place among the bundles times this.
+ROWS_OF_BUNDLE = 1 << 40
+
+
 def export_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_id, post variant)``: the rows of a bundle's table named tweets, in order.
+    """``(row_id, post variant)``: the rows of every bundle's first table named tweets, in order.
 
-    A bundle without such a table, or whose tables or rows are no list, is an error.
-    A bundle is one JSON document, so one task parses it; many bundles are many tasks.
+    Each bundle without such a table, or whose tables or rows are no list, is an error;
+    a table without rows is empty. A bundle is one JSON document, so one task parses it; many
+    bundles (a folder or a pattern) are many tasks and come in order of their names.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    docs = docs.select(F.try_variant_get("v", "$.data.data", "variant").alias("tables"))
-    is_list = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-    fail = lambda why: F.raise_error(F.lit(f"{why}: {path}"))
-    docs = docs.select(F.when(is_list(F.col("tables")), F.col("tables")).otherwise(fail("not an export bundle").cast("variant")).alias("tables"))
-    docs.createOrReplaceTempView("__bundles")
-    tables = spark.sql("select x.value as t, x.pos as at from __bundles, lateral variant_explode(tables) as x")
-    tables = tables.where(F.try_variant_get("t", "$.tableName", "string") == "tweets").orderBy("at").limit(1)
-    if not tables.limit(1).count():
-        raise ValueError(f"no table of posts in {path}")
-    rows = F.try_variant_get("t", "$.rows", "variant")
-    tables.select(F.when(is_list(rows), rows).otherwise(fail("the table of posts is no list").cast("variant")).alias("r")).createOrReplaceTempView("__bundle_rows")
-    return spark.sql("select cast(x.pos as bigint) as row_id, x.value as post from __bundle_rows, lateral variant_explode(r) as x")
+    docs = spark.read.text(path, wholetext=True)
+    names = sorted(docs.inputFiles())
+    at = F.array_position(F.array(*map(F.lit, names)), F.input_file_name()) - 1 if len(names) > 1 else F.lit(0)
+    docs = docs.select(F.greatest(at, F.lit(0)).cast("bigint").alias("bundle"), F.input_file_name().alias("file"), F.parse_json("value").alias("v"))
+    fail = lambda why, kind: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("file"))).cast(kind)
+    many, one = "array<variant>", "variant"
+    docs = docs.withColumn("tables", F.coalesce(F.try_variant_get("v", "$.data.data", many), fail("not an export bundle", many)))
+    posts = F.filter("tables", lambda t: F.coalesce(F.try_variant_get(t, "$.tableName", "string") == "tweets", F.lit(False)))
+    docs = docs.select("bundle", "file", F.coalesce(F.get(posts, F.lit(0)), fail("no table of posts", one)).alias("t"))
+    rows = F.when(F.try_variant_get("t", "$.rows", one).isNull(), F.array().cast(many)).otherwise(F.coalesce(F.try_variant_get("t", "$.rows", many), fail("the table of posts is no list", many)))
+    return docs.select("bundle", F.posexplode(rows).alias("pos", "post")).select((F.col("bundle") * F.lit(ROWS_OF_BUNDLE) + F.col("pos")).alias("row_id"), "post")
 
 
 def _string(v: Column, path: str) -> Column:

@@ -98,19 +98,24 @@ def account_summary(posts: DataFrame, members: DataFrame, firsts: DataFrame) ->
     return out.withColumn("coordination_score", coordination_score())
 
 
-# Words of a member description by kind; an entry ending in ~ is a stem.
+# Words of a member description by kind, and beginnings of words.
 KEYWORDS = {
-    "media": "news media press tv radio newspaper magazine journal official channel broadcast bulletin newsroom agency gazette publisher times herald "
-    "tribune daily report reporter reporters εφημερίδα τηλεόραση κανάλι ειδήσεις δημοσιογρ~",
-    "business": "Ltd LLC Inc GmbH S.A BV Company Corp AE EPE IKE",
-    "journalist": "journalist reporter editor correspondent anchor columnist writer author δημοσιογράφος συντάκτης αρθρογράφος",
-    "public_figure": "MP minister politician mayor president senator CEO founder professor βουλευτής υπουργός δήμαρχος πρόεδρος καθηγητής",
-}
+    "media": (
+        "news", "media", "press", "tv", "radio", "newspaper", "magazine", "journal", "official", "channel", "broadcast", "bulletin", "newsroom", "agency", "gazette",
+        "publisher", "times", "herald", "tribune", "daily", "report", "reporter", "reporters", "εφημερίδα", "τηλεόραση", "κανάλι", "ειδήσεις",
+    ),
+    "business": ("Ltd", "LLC", "Inc", "GmbH", "S.A", "BV", "Company", "Corp", "AE", "EPE", "IKE"),
+    "journalist": ("journalist", "reporter", "editor", "correspondent", "anchor", "columnist", "writer", "author", "δημοσιογράφος", "συντάκτης", "αρθρογράφος"),
+    "public_figure": (
+        "MP", "minister", "politician", "mayor", "president", "senator", "CEO", "founder", "professor", "βουλευτής", "υπουργός", "δήμαρχος", "πρόεδρος", "καθηγητής",
+    ),
+}
+STEMS = {"media": ("δημοσιογρ",)}
 
 
 def keyword_pattern(kind: str) -> str:
     """One case-blind alternation with word boundaries, in any script."""
-    parts = [w[:-1] if w.endswith("~") else w.replace(".", r"\.") + r"\b" for w in KEYWORDS[kind].split()]
+    parts = [w.replace(".", r"\.") + r"\b" for w in KEYWORDS[kind]] + list(STEMS.get(kind, ()))
     return r"(?iU)\b(?:" + "|".join(parts) + ")"
 
 

@@ -36,13 +36,14 @@ class BadJson(ValueError):
     """The text is not JSON."""
 
 
-def parse_triples(text: str) -> list[Triple]:
+def parse_triples(text: str, keep: frozenset | None = None) -> list[Triple]:
     """The triples of one JSON text in document order; ``BadJson`` if it is none.
 
     Containers give a triple of their own (type ``object`` or ``array``), so that
     an empty list differs from a missing one. Accepts what Python's ``json`` does
     (including ``NaN`` and ``Infinity``) at any depth: nothing recurses. If an
-    object repeats a key, the last value counts and the earlier one's triples go.
+    object repeats a key, the last value counts and the earlier one's triples go. With
+    ``keep`` only triples whose path ends in one of these keys are made.
     """
     out: list[Triple | None] = []
     path: list = []
@@ -60,10 +61,12 @@ def parse_triples(text: str) -> list[Triple]:
                     value, pos = scanstring(text, pos + 1, True)
                 except ValueError as e:
                     raise BadJson(str(e)) from None
-                out.append((tuple(path), "str", value))
+                if keep is None or path and path[-1] in keep:
+                    out.append((tuple(path), "str", value))
             elif ch == "{" or ch == "[":
                 is_object = ch == "{"
-                out.append((tuple(path), "object" if is_object else "array", None))
+                if keep is None or path and path[-1] in keep:
+                    out.append((tuple(path), "object" if is_object else "array", None))
                 pos = _SPACE(text, pos + 1).end()
                 closing = "}" if is_object else "]"
                 if text[pos : pos + 1] == closing:
@@ -76,14 +79,16 @@ def parse_triples(text: str) -> list[Triple]:
                         path.append(0)
                     continue
             elif m := _NUMBER(text, pos):
-                out.append((tuple(path), "float" if m[1] or m[2] else "int", m[0]))
+                if keep is None or path and path[-1] in keep:
+                    out.append((tuple(path), "float" if m[1] or m[2] else "int", m[0]))
                 pos = m.end()
             else:
                 minus = ch == "-"
                 word, kind = _WORDS.get(text[pos + minus : pos + minus + 1], ("", ""))
                 if not word or not text.startswith(word, pos + minus) or minus and word != "Infinity":
                     raise BadJson("value expected")
-                out.append((tuple(path), kind, None if kind == "null" else "-" * minus + word))
+                if keep is None or path and path[-1] in keep:
+                    out.append((tuple(path), kind, None if kind == "null" else "-" * minus + word))
                 pos += minus + len(word)
         pos = _SPACE(text, pos).end()
         if not stack:
@@ -181,11 +186,11 @@ def nested_rows(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return df.select(id_col, json_col).mapInArrow(run, schema).select(id_col, "group_path", "ordinals", parent.alias("parent_ordinals"), "fields")
 
 
-def _parsed(text: str | None) -> list[Triple]:
+def _parsed(text: str | None, keep: frozenset | None = None) -> list[Triple]:
     if not text:
         return []
     try:
-        return parse_triples(text)
+        return parse_triples(text, keep)
     except BadJson:
         return []
 
@@ -289,12 +294,13 @@ def shaped_rows(df: DataFrame, id_col: str, json_col: str, shape: Shape, key: st
     """
     names = list(shape.fields)
     ends = shape.ends()
+    keep = frozenset((*ends[0], *ends[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(len(names) + 4)]
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shaped(_parsed(text), shape, ends)
+                found = shaped(_parsed(text, keep), shape, ends)
                 keys = {path: fields[key] for fields, _, path, _ in found}
                 for fields, above, _, items in found:
                     for pos, value in enumerate(items) if items else ((-1, ""),):

@@ -37,50 +37,63 @@ def role_mix(counts: DataFrame, by: str, roles: DataFrame | None, top: int = 4)
 
 
 def steps(posts: DataFrame, casc: DataFrame) -> DataFrame:
-    """``(original_tweet_id, rn, account_handle, elapsed, source_client)``: every
-    amplification with its place in its cascade and whole seconds since the first (0 if a
-    time is missing)."""
-    order = Window.partitionBy("original_tweet_id").orderBy("k")
+    """``(original_tweet_id, k, account_handle, elapsed, source_client)``: every amplification with
+    its key in the cascade's order and whole seconds since the first (0 if a time is missing)."""
     boosts = posts.where("is_retweet").select(
         F.col("content_tweet_id").alias("original_tweet_id"), F.col("author_handle").alias("account_handle"), "posted_at", "source_client", cascade_order().alias("k")
     )
     start = casc.select("original_tweet_id", "first_retweet_at")
     elapsed = F.coalesce(seconds("posted_at", "first_retweet_at").cast("bigint"), F.lit(0).cast("bigint"))
-    return boosts.join(start, "original_tweet_id").select("original_tweet_id", F.row_number().over(order).alias("rn"), "account_handle", elapsed.alias("elapsed"), "source_client")
+    return boosts.join(start, "original_tweet_id").select("original_tweet_id", "k", "account_handle", elapsed.alias("elapsed"), "source_client")
+
+
+def first_steps(step_rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` steps of every cascade with their place ``rn``; every task keeps no more
+    than that of a cascade before anything is shuffled."""
+    order = Window.partitionBy("original_tweet_id").orderBy("k")
+    return step_rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
 
 
 def burst(step_rows: DataFrame) -> DataFrame:
     """Per cascade: times to the 5th, 10th and 50th step, excess kurtosis of the times
-    (0 under four steps or without spread), and the fullest window of 60 s inclusive."""
+    (0 under four steps or without spread), and the fullest window of 60 s inclusive.
+
+    Steps of a second are counted before they are shuffled; the windows run over
+    seconds, so a cascade costs what its time span does, however many steps it has.
+    """
     ahead = Window.partitionBy("original_tweet_id").orderBy("elapsed").rangeBetween(0, PEAK_WINDOW_S)
-    counted = step_rows.withColumn("w", F.count(F.lit(1)).over(ahead))
-    reach = lambda k: F.max(F.when(F.col("rn") == k, F.col("elapsed")))
+    per_second = step_rows.groupBy("original_tweet_id", "elapsed").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_second.withColumn("w", F.sum("n").over(ahead))
+    peaks = counted.groupBy("original_tweet_id").agg(F.max(F.struct("w", (-F.col("elapsed")).alias("e"))).alias("peak"))
+    reach = lambda k: F.max(F.when(F.col("rn") == k, F.col("elapsed"))).alias(f"time_to_k{k}_sec")
+    reached = first_steps(step_rows, 50).groupBy("original_tweet_id").agg(reach(5), reach(10), reach(50))
     spread = F.when((F.count(F.lit(1)) >= 4) & (F.min("elapsed") < F.max("elapsed")), F.kurtosis("elapsed")).otherwise(0.0)
-    return counted.groupBy("original_tweet_id").agg(
-        reach(5).alias("time_to_k5_sec"),
-        reach(10).alias("time_to_k10_sec"),
-        reach(50).alias("time_to_k50_sec"),
-        spread.alias("kurtosis"),
-        F.max(F.struct("w", (-F.col("elapsed")).alias("e"))).alias("peak"),
-    ).select("original_tweet_id", "time_to_k5_sec", "time_to_k10_sec", "time_to_k50_sec", "kurtosis", (-F.col("peak.e")).alias("burst_peak_window_start_sec"), F.col("peak.w").alias("burst_peak_window_count"))
+    spreads = step_rows.groupBy("original_tweet_id").agg(spread.alias("kurtosis"))
+    return (
+        reached.join(spreads, "original_tweet_id")
+        .join(peaks, "original_tweet_id")
+        .select(
+            "original_tweet_id", "time_to_k5_sec", "time_to_k10_sec", "time_to_k50_sec", "kurtosis", (-F.col("peak.e")).alias("burst_peak_window_start_sec"),
+            F.col("peak.w").alias("burst_peak_window_count"),
+        )
+    )
 
 
 def client_share(step_rows: DataFrame) -> DataFrame:
     """``(original_tweet_id, dominant_client, share)`` of all steps; of equally frequent
     clients the one seen first."""
-    total = step_rows.groupBy("original_tweet_id").agg(F.count(F.lit(1)).alias("total"))
-    per = step_rows.where("source_client <> ''").groupBy("original_tweet_id", "source_client").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("seen"))
-    best = per.groupBy("original_tweet_id").agg(F.max(F.struct("n", (-F.col("seen")).alias("seen"), "source_client")).alias("b"))
-    return total.join(best, "original_tweet_id", "left").select(
-        "original_tweet_id", F.col("b.source_client").alias("dominant_client"), F.coalesce(F.col("b.n") / F.col("total"), F.lit(0.0)).alias("share")
-    )
+    per = step_rows.groupBy("original_tweet_id", F.nullif("source_client", F.lit("")).alias("client")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("seen"))
+    named = F.when(F.col("client").isNotNull(), F.struct((-F.col("n")).alias("n"), "seen", "client"))
+    best = per.groupBy("original_tweet_id").agg(F.sum("n").alias("total"), F.min(named).alias("b"))
+    return best.select("original_tweet_id", F.col("b.client").alias("dominant_client"), F.coalesce(-F.col("b.n") / F.col("total"), F.lit(0.0)).alias("share"))
 
 
 def spread_paths(step_rows: DataFrame, casc: DataFrame, nodes: DataFrame, cascade_cohorts: DataFrame | None, limit: int | None = None) -> DataFrame:
     """``(original_tweet_id, original_author_handle, first_retweet_at, steps)``: ordered
     steps (handle, elapsed_sec, component_id or 0, first cohort id or 0). With ``limit``
-    only the first steps of each cascade are read."""
-    part = step_rows.where(F.col("rn") <= limit) if limit else step_rows
+    only the first steps of each cascade are read; without, a row holds its whole
+    cascade, as the path files do."""
+    part = first_steps(step_rows, limit) if limit else step_rows
     rows = part.join(nodes.select("account_handle", "component_id"), "account_handle", "left")
     if cascade_cohorts is not None:
         rows = rows.join(cascade_cohorts.select("original_tweet_id", F.col("cohort_ids")[0].alias("cohort")), "original_tweet_id", "left")
@@ -90,7 +103,7 @@ def spread_paths(step_rows: DataFrame, casc: DataFrame, nodes: DataFrame, cascad
         F.col("account_handle").alias("handle"), F.col("elapsed").alias("elapsed_sec"), F.coalesce("component_id", F.lit(0)).cast("bigint").alias("component_id"),
         F.coalesce("cohort", F.lit(0)).cast("bigint").alias("cohort_id"),
     )
-    listed = rows.groupBy("original_tweet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", step.alias("s")))), lambda x: x["s"]).alias("steps"))
+    listed = rows.groupBy("original_tweet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", step.alias("s")))), lambda x: x["s"]).alias("steps"))
     return casc.select("original_tweet_id", "original_author_handle", "first_retweet_at").join(listed, "original_tweet_id")
 
 
@@ -108,7 +121,7 @@ def propagation(posts: DataFrame, casc: DataFrame, members: DataFrame, nodes: Da
     """Speed, burst, client and reach figures of every cascade with a score from the
     unrounded ones. ``cascade_cohorts`` is ``(original_tweet_id, cohort_ids)``."""
     st = steps(posts, casc)
-    counts = st.groupBy("original_tweet_id", "account_handle").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("seen"))
+    counts = st.groupBy("original_tweet_id", "account_handle").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("seen"))
     parts = (
         counts.join(nodes.select("account_handle", "component_id"), "account_handle").groupBy("original_tweet_id").agg(F.array_sort(F.collect_set("component_id")).alias("amplifier_component_ids"))
     )

@@ -258,6 +258,15 @@ def client_label(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.get_json_object("payload", "$").isNotNull()).select("raw_id", tx.client_label(source).alias("client"))
 
 
+def normalised_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """The post table's columns from raw payloads; normal forms of text and tokens are those of ``canonical_text``."""
+    from tidewake.sources.posts import normalised_posts as normalised
+
+    raw = spark.read.parquet(f"{sf}/raw_posts.parquet")
+    rows = raw.select(F.col("raw_id").alias("row_id"), F.try_parse_json("payload").alias("post")).where("post is not null")
+    return shown(normalised(rows).drop("canonical_text", "content_canonical_text", "hashtags", "mentions").withColumnRenamed("row_id", "raw_id"))
+
+
 def handle_from_url(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/members.parquet").select("screen_name").distinct()
     forms = F.explode(F.array(F.concat(F.lit("https://social.example/"), "screen_name", F.lit("/status/1")), F.concat(F.lit(" @"), "screen_name"), F.concat("screen_name", F.lit("/"))))
@@ -320,6 +329,6 @@ QUERIES = {
     for f in (
         dataset_stats, missing_members, cascade_summary, source_cascades, token_hashtags, token_mentions, amplifier_edges, account_overlap, account_summary, coordination_score,
         overlap_nodes, overlap_components, k_core, tight_edges, cohort_by_cascade, cohorts, account_roles, target_summary, propagation, target_hhi, repeat_crew, burst, client_share, role_mix, burst_windows, spread_path, first_profiles, feature_matrix,
-        canonical_text, stored_canonical_text_differs, client_label, handle_from_url, members_placeholder, snapshot_asof, ml_features, ml_scaled, ml_run, ml_accounts, ml_clusters,
+        canonical_text, stored_canonical_text_differs, client_label, normalised_posts, handle_from_url, members_placeholder, snapshot_asof, ml_features, ml_scaled, ml_run, ml_accounts, ml_clusters,
     )
 }

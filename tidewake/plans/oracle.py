@@ -109,16 +109,20 @@ _SCORE = """round(least(retweet_ratio::DECIMAL(10,4), 1) * 35 + CASE WHEN tweet_
   + least(first_retweeter_count, 20)::DECIMAL(10,0) * 1.25 + top_amplified_share::DECIMAL(10,4) * 10 + retweets_to_member_ratio::DECIMAL(10,4) * 15, 2)::DOUBLE"""
 
 
+#: The words again, as the semantics state them, so that a wrong list shows.
+_WORDS = {
+    "media": "news|media|press|tv|radio|newspaper|magazine|journal|official|channel|broadcast|bulletin|newsroom|agency|gazette|publisher|times|herald|tribune|daily|report|reporter|reporters|εφημερίδα|τηλεόραση|κανάλι|ειδήσεις",
+    "business": r"Ltd|LLC|Inc|GmbH|S\.A|BV|Company|Corp|AE|EPE|IKE",
+    "journalist": "journalist|reporter|editor|correspondent|anchor|columnist|writer|author|δημοσιογράφος|συντάκτης|αρθρογράφος",
+    "public_figure": "MP|minister|politician|mayor|president|senator|CEO|founder|professor|βουλευτής|υπουργός|δήμαρχος|πρόεδρος|καθηγητής",
+}
+_BEGINNINGS = {"media": "|δημοσιογρ"}
+
+
 def _word(kind: str) -> str:
     """Greek letters are word characters for Spark; here they are told off by hand."""
-    from tidewake.operators.account import KEYWORDS
-
-    letters = r"[\p{L}\p{N}_]"
-    parts = []
-    for w in KEYWORDS[kind].split():
-        stem = w.endswith("~")
-        parts.append(w.rstrip("~").replace(".", r"\.") + ("" if stem else f"(?:[^\\p{{L}}\\p{{N}}_]|$)"))
-    return f"regexp_matches(coalesce(cm.description, ''), '(?:^|[^{letters[1:-1]}])(?:{'|'.join(parts)})', 'i')"
+    other = r"[^\p{L}\p{N}_]"
+    return f"regexp_matches(coalesce(cm.description, ''), '(?:^|{other})(?:(?:{_WORDS[kind]})(?:{other}|$){_BEGINNINGS.get(kind, '')})', 'i')"
 
 
 _NEEDS = {"cm": [], "b": [], "casc": ["b"], "acc": ["cm", "casc"], "pairs": ["b"], "net": ["pairs"], "groups": ["pairs"], "coh": ["groups", "net", "casc"], "roles": ["acc", "coh"], "steps": ["b"]}
@@ -338,6 +342,47 @@ ORACLE |= {
       FROM tweets WHERE is_retweet AND posted_at IS NOT NULL GROUP BY 1, 2, 3""",
 }
 
+_AT = "core.user_results.result.core"
+_LONG = "note_tweet.note_tweet_results.result"
+
+
+def _said(doc: str, path: str) -> str:
+    return f"CASE WHEN json_type({doc}, '$.{path}') = 'VARCHAR' THEN {doc} ->> '$.{path}' END"
+
+
+def _there(path: str) -> str:
+    return f"coalesce(json_extract(p, '$.{path}')::VARCHAR NOT IN ('null', 'false', '0', '\"\"', '[]', '{{}}'), false)"
+
+
+def _when(doc: str) -> str:
+    return f"""timezone('UTC', try_strptime(regexp_replace(trim({doc} ->> '$.legacy.created_at'), '^[A-Za-z]{{3}},?\\s+', ''), ['%b %d %H:%M:%S %z %Y', '%d %b %Y %H:%M:%S %z'])::TIMESTAMPTZ)"""
+
+
+def _body(doc: str) -> str:
+    note = _said(doc, f"{_LONG}.text")
+    return f"coalesce(CASE WHEN trim({note}) <> '' THEN {note} END, {_said(doc, 'legacy.full_text')}, '')"
+
+
+def _listed(kind: str, field: str) -> str:
+    first, second = f"$.{_LONG}.entity_set.{kind}", f"$.legacy.entities.{kind}"
+    items = f"CASE WHEN json_type(c, '{first}') = 'ARRAY' THEN c -> '{first}' WHEN json_type(c, '{second}') = 'ARRAY' THEN c -> '{second}' ELSE '[]'::JSON END"
+    return f"array_to_string(list_filter(json_extract_string({items}, '$[*].{field}'), lambda t: t IS NOT NULL AND t <> ''), '|')"
+
+
+ORACLE["normalised_posts"] = f"""
+WITH g AS MATERIALIZED (SELECT raw_id, payload::JSON AS p FROM raw_posts WHERE payload IS NOT NULL AND json_valid(payload)),
+b AS (SELECT raw_id, p, {_there("legacy.retweeted_status_result")} AS boost FROM g),
+d AS MATERIALIZED (SELECT *, CASE WHEN boost AND json_type(p, '$.legacy.retweeted_status_result.result.tweet') = 'OBJECT' THEN p -> '$.legacy.retweeted_status_result.result.tweet'
+  WHEN boost AND json_type(p, '$.legacy.retweeted_status_result.result') = 'OBJECT' THEN p -> '$.legacy.retweeted_status_result.result' ELSE p END AS c FROM b),
+r AS (SELECT raw_id, coalesce(p ->> '$.rest_id', '') AS tweet_id, {_said("p", _AT + ".screen_name")} AS author_handle, {_said("p", _AT + ".name")} AS author_name, {_when("p")} AS posted_at,
+  {_said("p", "source")} AS src, {_body("p")} AS text, boost AS is_retweet, {_there("legacy.is_quote_status")} OR {_there("quoted_status_result")} AS is_quote,
+  nullif({_said("c", "rest_id")}, '') AS i1, nullif({_said("c", "legacy.id_str")}, '') AS i2, nullif({_said("c", _AT + ".screen_name")}, '') AS a1, {_said("c", _AT + ".name")} AS content_author_name,
+  {_when("c")} AS content_created_at, {_body("c")} AS content_text, {_listed("hashtags", "text")} AS hashtags_raw, {_listed("user_mentions", "screen_name")} AS mentions_raw FROM d)
+SELECT raw_id, tweet_id, author_handle, author_name, posted_at, CASE WHEN src = '' THEN NULL ELSE coalesce(nullif(trim(regexp_extract(src, '>([^<]+)<', 1)), ''), src) END AS source_client, text,
+  is_retweet, is_quote, coalesce(i1, i2, tweet_id) AS content_tweet_id, coalesce(a1, nullif(regexp_extract(text, '^RT @([A-Za-z0-9_]{{1,32}}):', 1), ''), author_handle) AS content_author_handle,
+  content_author_name, content_created_at, content_text, hashtags_raw, mentions_raw FROM r WHERE author_handle <> ''
+"""
+
 _X = {f: f"coalesce({f}::DOUBLE, 0)" if f in PLAIN else f"ln(1 + greatest(coalesce({f}::DOUBLE, 0), 0))" for f in FEATURES}
 ORACLE["ml_features"] = "SELECT account_handle, " + ", ".join(f"round({x}, 6) AS {f}" for f, x in _X.items()) + " FROM (SELECT DISTINCT * FROM ml_feature_matrix)"
 ORACLE["ml_scaled"] = (

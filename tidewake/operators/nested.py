@@ -36,6 +36,11 @@ class BadJson(ValueError):
     """The text is not JSON."""
 
 
+def _past_space(text: str, pos: int) -> int:
+    """Most exports have no blanks between tokens, so they are only looked for where one is."""
+    return _SPACE(text, pos).end() if text[pos : pos + 1] <= " " else pos
+
+
 def parse_triples(text: str, keep: frozenset | None = None) -> list[Triple]:
     """The triples of one JSON text in document order; ``BadJson`` if it is none.
 
@@ -49,7 +54,7 @@ def parse_triples(text: str, keep: frozenset | None = None) -> list[Triple]:
     path: list = []
     # per open container: [is_object, next ordinal, {key: (first, past last) triple}, key, first triple of the key]
     stack: list[list] = []
-    pos, end = _SPACE(text, 0).end(), len(text)
+    pos, end = _past_space(text, 0), len(text)
     want_value = True
     while True:
         if want_value:
@@ -67,7 +72,7 @@ def parse_triples(text: str, keep: frozenset | None = None) -> list[Triple]:
                 is_object = ch == "{"
                 if keep is None or path and path[-1] in keep:
                     out.append((tuple(path), "object" if is_object else "array", None))
-                pos = _SPACE(text, pos + 1).end()
+                pos = _past_space(text, pos + 1)
                 closing = "}" if is_object else "]"
                 if text[pos : pos + 1] == closing:
                     pos += 1
@@ -90,7 +95,8 @@ def parse_triples(text: str, keep: frozenset | None = None) -> list[Triple]:
                 if keep is None or path and path[-1] in keep:
                     out.append((tuple(path), kind, None if kind == "null" else "-" * minus + word))
                 pos += minus + len(word)
-        pos = _SPACE(text, pos).end()
+        if pos < end and text[pos] <= " ":
+            pos = _SPACE(text, pos).end()
         if not stack:
             if pos != end:
                 raise BadJson("extra text")
@@ -103,7 +109,7 @@ def parse_triples(text: str, keep: frozenset | None = None) -> list[Triple]:
                 out[span[0] : span[1]] = [None] * (span[1] - span[0])
             top[2][top[3]] = (top[4], len(out))
         if ch == ",":
-            pos = _SPACE(text, pos + 1).end()
+            pos = _past_space(text, pos + 1)
             path.pop()
             if top[0]:
                 pos = _key(text, pos, path, top, len(out))
@@ -127,12 +133,12 @@ def _key(text: str, pos: int, path: list, top: list, first: int) -> int:
         key, pos = scanstring(text, pos + 1, True)
     except ValueError as e:
         raise BadJson(str(e)) from None
-    pos = _SPACE(text, pos).end()
+    pos = _past_space(text, pos)
     if text[pos : pos + 1] != ":":
         raise BadJson("colon expected")
     path.append(key)
     top[3], top[4] = key, first
-    return _SPACE(text, pos + 1).end()
+    return _past_space(text, pos + 1)
 
 
 # ---------------------------------------------------------------- generic tables

@@ -26,7 +26,9 @@ BLOCKS = 4000
 #: Documents of a shard, about, and the most shards there are: bounds what the driver
 #: apportions (shards times sources) and what one window sorts.
 SHARD_DOCUMENTS = 20_000
-MOST_SHARDS = 4096
+MOST_SHARDS = 16_384
+#: Quotas up to which they are sent to the tasks; beyond, Spark picks the join.
+SENT_QUOTAS = 100_000
 
 
 def token_counts(df: DataFrame, text: str, out: str = "tokens", tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
@@ -155,8 +157,9 @@ def mix(
     placed = sized.withColumn("start", F.sum("tokens").over(line) - F.col("tokens"))
     # a document is in a round if its middle lies before the quota's end
     rounds = F.ceil((F.col("quota") - F.col("start") - F.col("tokens") / 2) / F.greatest(F.col("have"), F.lit(1)))
+    due = quota.where("quota > 0")
     chosen = (
-        placed.join(F.broadcast(quota.where("quota > 0")), ["source", "shard"])
+        placed.join(F.broadcast(due) if len(quotas) <= SENT_QUOTAS else due, ["source", "shard"])
         .withColumn("copies", F.least(F.greatest(rounds, F.lit(0)), F.col("repeats")).cast("int"))
         .where("copies > 0")
         .select("mix_id", "source", "doc", "tokens", "copies")

@@ -106,8 +106,30 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
+#: How far a source's actual share may lie from its target; documents are taken whole, so small tables miss it by more.
+SHARE_TOLERANCE = 0.02
+
+
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every source keeps its share (its part of the sources that have documents) and its repeats."""
+    chosen, report = _mixed(spark, sf)
+    copies = chosen.groupBy("mix_id", "source").agg(F.max("copies").alias("most"))
+    there = report.where("documents > 0").groupBy("mix_id").agg(F.sum("target_share").alias("whole"))
+    rows = report.join(there, "mix_id", "left").join(copies, ["mix_id", "source"], "left")
+    due = F.when(F.col("documents") > 0, F.col("target_share") / F.col("whole")).otherwise(0.0)
+    kept = (F.abs(F.col("actual_share") - due) <= SHARE_TOLERANCE).alias("on_target")
+    return rows.select("mix_id", "source", "target_share", "max_repeats", "documents", kept, (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"))
+
+
+#: A list of common words that is sent to the tasks has no more; a larger one is an error, not cut.
+MOST_WORDS = 1_000_000
+
+
 def _common_words(spark: SparkSession, sf: str) -> list[str]:
-    return [r[0] for r in read(spark, sf, "common_words").select("word").distinct().collect()]
+    words = [r[0] for r in read(spark, sf, "common_words").select("word").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    return words
 
 
 #: Statistics that plain SQL can count, too.
@@ -132,7 +154,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return _quality(spark, sf).where("not_prose_share > 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p3_classes, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p10_found, p10_statistics, p10_structure)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p3_classes, p4_found, p6_found, p6_clusters, p8_found, p8_edited, p9_mix, p9_shares, p9_kept, p10_found, p10_statistics, p10_structure)}
 
 def _p1_form(source: str) -> str:
     return f"({look.look_query(source, '* EXCLUDE (value, look), value AS v, look AS form')})"
@@ -149,6 +171,11 @@ c AS (SELECT h, items, min(h) OVER (PARTITION BY items) AS rep FROM (SELECT h, l
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 ORACLE = {
+    "p9_kept": r"""
+WITH t AS (SELECT DISTINCT mix_id, regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, target_share, max_repeats FROM mix_targets),
+d AS (SELECT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, count(*) AS documents FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT mix_id, source, target_share, max_repeats, coalesce(documents, 0) AS documents, true AS on_target, true AS within_repeats FROM t LEFT JOIN d USING (source)
+""",
     "p10_statistics": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
 x AS (SELECT doc_id, regexp_extract_all(t, '{_LETTER}+(?:[''’]{_LETTER}+)*') AS w, regexp_matches(t, '[.!?…;·。！？｡．؟؛۔।॥։՞፧][»"”’」』）'')*]*\s*$') AS ends FROM l WHERE regexp_matches(t, '[^\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]')),

@@ -46,8 +46,7 @@ _SENTENCE_END = re.compile(rf"[.!?…;·{OTHER_ENDS}][»\"”’」』）')*]*\s
 _INNER_END = re.compile(rf"[.!?…]['\"”»)*]*\s+[*'\"“«(]*[^\W\d_]|;\s+[A-ZΑ-ΩΆΈΉΊΌΎΏ]|[{OTHER_ENDS}]\s*[^\W\d_]")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _ITEM = re.compile("[,;] ")
-_SYMBOL = re.compile(r"[^\w\s]|_")
-_DIGIT = re.compile(r"\d")
+_WIDE = re.compile(r"\s{3}")
 #: Words of three letters or more without a vowel, or with four letters in a row without one.
 _DULL = re.compile(r"(?<!\S)(?:[^\s{0}]{{3,}}(?!\S)|\S*?[^\s{0}]{{4}}\S*)".format("".join(sorted(VOWELS))))
 _MOJIBAKE = re.compile(r"[ÂÃÎÏÐÑÅÄ][\x80-\xbf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
@@ -59,7 +58,10 @@ def _plain(text: str) -> str:
     if text.isascii():
         return text
     text = _ACCENTS.sub("", unicodedata.normalize("NFD", text))
-    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
+    marks = [c for c in set(text) if unicodedata.combining(c)]
+    for c in marks:
+        text = text.replace(c, "")
+    return text
 
 
 @cache
@@ -111,7 +113,10 @@ def _blocks(lines: list[_Line], same) -> Iterator[list[_Line]]:
 
 def _tables(lines: list[_Line]) -> None:
     """Marks rows whose delimiters align with those of the line above or below."""
+    wide = any(map(_WIDE.search, (line.text for line in lines)))
     for d in DELIMITERS:
+        if d == "   " and not wide:
+            continue
         counts = [line.text.count(d) if d != "   " else len(re.findall(r"\S\s{3,}(?=\S|$)", line.text)) for line in lines]
         least = 3 if d in (",", "/") else 1 if d == "\t" else 2
         for i, line in enumerate(lines):
@@ -302,6 +307,7 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
     for x in lines:
         by_kind[x.kind] += x.size
     repeated = _repeated_share(text)
+    characters = Counter(text)
     lengths = [len(x.text) for x in lines]
     indents = [x.indent for x in lines]
     prose = by_kind[""] / total
@@ -309,8 +315,8 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
     out |= {
         "words": len(words),
         "mean_word_length": sum(map(len, words)) / max(1, len(words)),
-        "symbol_ratio": len(_SYMBOL.findall(text)) / n,
-        "digit_ratio": len(_DIGIT.findall(text)) / n,
+        "symbol_ratio": sum(k for c, k in characters.items() if not c.isalnum() and not c.isspace()) / n,
+        "digit_ratio": sum(k for c, k in characters.items() if c.isdecimal()) / n,
         "lines": len(lines),
         "punctuated_line_share": sum(x.ends for x in lines) / len(lines),
         "marked_line_share": sum(x.marker is not None for x in lines) / len(lines),

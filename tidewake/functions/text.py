@@ -24,22 +24,55 @@ def plain_text(value: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", _URL.sub("", value or "")).casefold().split())
 
 
-# Spark has no Unicode normalisation built in, so these two go through Arrow in batches.
+# Spark has no Unicode normalisation built in, so text beyond ASCII goes through Arrow in batches;
+# plain ASCII stays in the JVM and reaches Python as null.
+_BLANK = r"\t-\r\x1c-\x1f "
+
+
 @F.pandas_udf(T.StringType())
-def normalize_token(values: pd.Series) -> pd.Series:
+def _token_beyond(values: pd.Series) -> pd.Series:
     return values.map(plain_token, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def canonical_text(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: plain_text(v if isinstance(v, str) else ""))
+def _text_beyond(values: pd.Series) -> pd.Series:
+    return values.map(plain_text, na_action="ignore")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def normalize_tokens(values: pd.Series) -> pd.Series:
+def _tokens_beyond(values: pd.Series) -> pd.Series:
     return values.map(lambda a: [plain_token(v) for v in a], na_action="ignore")
 
 
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(r"\A[\x00-\x7f]*\z"))
+
+
+def normalize_token(value: Column | str) -> Column:
+    """``plain_token`` of a column; null stays null."""
+    c = _column(value)
+    return F.when(_is_ascii(c), F.lower(c)).otherwise(_token_beyond(F.when(~_is_ascii(c), c)))
+
+
+def canonical_text(value: Column | str) -> Column:
+    """``plain_text`` of a column; null is ''."""
+    c = F.coalesce(_column(value), F.lit(""))
+    bare = F.regexp_replace(c, rf"https?://[^{_BLANK}]+", "")
+    plain = F.trim(F.regexp_replace(F.lower(bare), rf"[{_BLANK}]+", " "))
+    return F.when(_is_ascii(c), plain).otherwise(_text_beyond(F.when(~_is_ascii(c), c)))
+
+
+def normalize_tokens(values: Column | str) -> Column:
+    """``plain_token`` of every element of a list without nulls; null stays null."""
+    c = _column(values)
+    ascii_ = _is_ascii(F.array_join(c, ""))
+    return F.when(ascii_, F.transform(c, F.lower)).otherwise(_tokens_beyond(F.when(~ascii_, c)))
+
+
 def client_label(source: Column) -> Column:
     """The text of an HTML anchor; without one the value itself; null for null and ''."""
     inner = F.regexp_extract(source, r">([^<]+)<", 1)

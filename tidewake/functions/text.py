@@ -49,7 +49,7 @@ def _column(c: Column | str) -> Column:
 
 
 def _is_ascii(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r"\A[\x00-\x7f]*\z"))
+    return F.octet_length(text) == F.char_length(text)
 
 
 def normalize_token(value: Column | str) -> Column:

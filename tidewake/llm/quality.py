@@ -16,7 +16,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +39,7 @@ _MARKER = re.compile(r"\s*(?:([-*•–—·▪◦‣+#→]+)|(\(?\d{1,4}[.):\]]
 _LOG = re.compile(r"\W*(?:\d{4}-\d\d-\d\d[T ]?|\d\d?[/.]\d\d?[/.]\d{2,4}\s|\d\d:\d\d(?::\d\d)?\b|\[?(?:INFO|WARN|ERROR|DEBUG|SKIP)\b)")
 _PAIR = re.compile(r"[\w.-]+=[^\s=]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")  # the same for plain ASCII, where it is faster
 _REFERENCE = re.compile(r"(?:https?://|www\.)\S+|[#@]\w[\w.]*|\w+@\w[\w.]*")
 # Sentence marks of scripts besides the European ones.
 OTHER_ENDS = "。！？｡．؟؛۔।॥։՞።፧။"
@@ -64,6 +65,12 @@ def _plain(text: str) -> str:
     return text
 
 
+@lru_cache(maxsize=1 << 16)
+def _dull(word: str) -> bool:
+    """Whether a word has no vowel where one is due; words repeat, so answers are kept."""
+    return _DULL.match(word) is not None
+
+
 @cache
 def _script(c: str) -> str:
     """The script of a letter or mark as its Unicode name begins; '' for anything else. Styled
@@ -85,7 +92,7 @@ class _Line:
         if text.startswith(">"):  # a quoted line counts as what is quoted
             text = text.lstrip("> ")
         self.text = text
-        self.words = _WORD.findall(text)
+        self.words = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
         self.plain = _plain(" ".join(self.words)).split(" ") if self.words else []
         self.letters = sum(map(len, self.words))
         m = _MARKER.match(text)
@@ -245,7 +252,8 @@ def _junk(line: _Line, common: frozenset[str]) -> str:
             return "list"
     if not text.isascii() and len(_MOJIBAKE.findall(text)) * 2 / n > 0.25:
         return "junk"
-    scripts = {"LATIN"} if text.isascii() else set(map(_script, set(text)))
+    # plain ASCII letters are of a vowelled script with blanks, so the others decide
+    scripts = {"LATIN"} if text.isascii() else {_script(c) for c in set(text) if c > "\x7f"}
     # vowel signs of other scripts are marks, no letters
     plain_scripts = scripts <= {"", "COMBINING", "MODIFIER", *VOWELLED}
     marks = 0 if plain_scripts else sum(_script(c) not in ("", "COMBINING", *VOWELLED) and unicodedata.category(c)[0] == "M" for c in text)
@@ -258,7 +266,7 @@ def _junk(line: _Line, common: frozenset[str]) -> str:
         return "junk"
     if len(line.words) >= 4:
         told = line.plain if plain_scripts else [w for w in line.plain if _vowelled(w)]
-        if len(told) >= min(4, len(line.plain)) and len(_DULL.findall(" ".join(told))) / len(told) > 0.3:
+        if len(told) >= min(4, len(line.plain)) and sum(map(_dull, told)) / len(told) > 0.3:
             return "junk"
     if len(line.words) >= 8 and not line.ends and 15 * sum(map(text.count, ",;:.")) < len(line.words) and _function_share(line.plain, common) < 0.12:
         return "junk"

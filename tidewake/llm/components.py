@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.operators.ranking import numbered
 from tidewake.session import Stage
 
 
@@ -37,9 +38,8 @@ def _collapse(stage: Stage, tree: DataFrame) -> DataFrame:
     """Pointer doubling until every component points at its root."""
     while True:
         up = tree.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        doubled = stage.cut(tree.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        doubled, moved = stage.cut_counting(tree.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "moved")
         stage.drop(tree)
-        moved = doubled.where("moved").limit(1).count()
         tree = doubled
         if not moved:
             return tree
@@ -56,11 +56,17 @@ def connected_groups(pairs: DataFrame, a: str, b: str, records: DataFrame | None
     Each round at least halves the components that still have edges. Only the edges
     and the pointers of one round are rewritten; the pointers of all rounds are
     joined at the end from the last round back to the first, so vertices that a
-    round doesn't concern aren't moved by it.
+    round doesn't concern aren't moved by it. Records are numbered once in their order,
+    so the rounds move and compare numbers.
     """
-    spark = pairs.sparkSession
-    stage = Stage(spark)
-    edges = stage.cut(_edges(pairs, a, b))
+    stage = Stage(pairs.sparkSession)
+    names = pairs.select(F.col(a).alias("record")).unionAll(pairs.select(F.col(b).alias("record")))
+    if records is not None:
+        names = names.unionAll(records.select(F.col(record or "record").alias("record")))
+    ids = stage.cut(numbered(names.where("record is not null").distinct(), [F.col("record")], "id"))
+    end = lambda name, number: ids.select(F.col("record").alias(name), F.col("id").alias(number))
+    linked = _edges(pairs, a, b).join(end("lo", "x"), "lo").join(end("hi", "y"), "hi")
+    edges = stage.cut(linked.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")))
     rounds: list[DataFrame] = []
     while edges.limit(1).count():
         tree = _collapse(stage, stage.cut(_pointers(edges))).select("c", "p")
@@ -71,10 +77,6 @@ def connected_groups(pairs: DataFrame, a: str, b: str, records: DataFrame | None
         stage.drop(edges)
         edges = following
         rounds.append(tree)
-    names = pairs.select(F.col(a).alias("record")).unionAll(pairs.select(F.col(b).alias("record")))
-    if records is not None:
-        names = names.unionAll(records.select(F.col(record or "record").alias("record")))
-    names = names.where("record is not null").distinct()
     # from the last round back: (component at the start of the round, final root)
     final: DataFrame | None = None
     for tree in reversed(rounds):
@@ -84,5 +86,6 @@ def connected_groups(pairs: DataFrame, a: str, b: str, records: DataFrame | None
             later = final.select(F.col("c").alias("p"), F.col("root").alias("r"))
             final = stage.cut(tree.join(later, "p", "left").select("c", F.coalesce("r", "p").alias("root")))
     if final is None:
-        return names.select("record", F.col("record").alias("group"))
-    return names.join(final.select(F.col("c").alias("record"), "root"), "record", "left").select("record", F.coalesce("root", "record").alias("group"))
+        return ids.select("record", F.col("record").alias("group"))
+    rooted = ids.join(final.select(F.col("c").alias("id"), "root"), "id", "left").select("record", F.coalesce("root", "id").alias("root"))
+    return rooted.join(end("group", "root"), "root").select("record", "group")

@@ -276,15 +276,18 @@ def _junk(line: _Line, common: frozenset[str]) -> str:
 def _repeated_share(text: str, gram: int = 5) -> float:
     """Share of characters that only repeat what the document said before."""
     if len(text) > 60:
-        packed = len(zlib.compress(text.encode(), 6)) / len(text.encode())
-        if packed < 0.12:
+        raw = text.encode()
+        if len(zlib.compress(raw, 6)) / len(raw) < 0.12:
             return 1.0
     names = text.split()
     if len(names) <= gram:
         return 0.0
+    grams = list(zip(*(names[k:] for k in range(gram))))
+    if len(set(grams)) == len(grams):
+        return 0.0
     seen: set[tuple[str, ...]] = set()
     again: set[int] = set()
-    for i, g in enumerate(zip(*(names[k:] for k in range(gram)))):
+    for i, g in enumerate(grams):
         if g in seen:
             again.update(range(i, i + gram))
         seen.add(g)
@@ -328,7 +331,7 @@ def text_statistics(text: str | None, common: frozenset[str]) -> dict[str, float
         "lines": len(lines),
         "punctuated_line_share": sum(x.ends for x in lines) / len(lines),
         "marked_line_share": sum(x.marker is not None for x in lines) / len(lines),
-        "common_word_share": sum(w in common for w in plain) / max(1, len(words)),
+        "common_word_share": sum(map(common.__contains__, plain)) / max(1, len(words)),
         "function_word_share": _function_share(plain, common),
         "delimiter_alignment": sum(x.cells > 0 for x in lines) / len(lines),
         "indent_period": max((_autocorrelation(indents, k) for k in (1, 2, 3, 4)), default=0.0) if len(set(indents)) > 1 else 0.0,
